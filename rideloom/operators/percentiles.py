@@ -1,0 +1,78 @@
+"""Percentiles of very large columns from cumulative frequencies.
+
+Values are reduced to counts per group and value (partially aggregated before the shuffle, so a group of any
+size leaves at most one row per distinct value), range-sorted into bands, summed within bands, shifted by the
+totals of the bands before, and the first value that reaches the target rank is picked.
+
+The counts are the mergeable state: counts of days, files or partitions add up to those of the whole, so the
+percentiles of a union are computed from the sum of states with the same bound. With no resolution the result
+is exact (rank error 0, value error 0); with a resolution values are rounded to multiples of it first, so each
+percentile is off by at most half of it, and the state is bounded by the value range over the resolution.
+
+Percentile p of n values is the value of rank ceil(p n), at least 1. Null and NaN values and null groups:
+values that are null or NaN are no values; a null group is a group. Empty input gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from rideloom.common import need
+
+BANDS = 64
+
+
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, resolution: float | None = None) -> DataFrame:
+    """The state: (groups..., value, n). States with equal groups and resolution are merged by merge_counts."""
+    v = F.col(value).cast("double")
+    d = need(df, *groups, value).where(v.isNotNull() & ~F.isnan(v))
+    if resolution is not None:
+        v = F.round(v / F.lit(resolution)) * F.lit(resolution)
+    return d.select(*groups, (v + F.lit(0.0)).alias("value")).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_counts(*states: DataFrame) -> DataFrame:
+    """One state from several, whatever their order."""
+    whole = states[0]
+    for s in states[1:]:
+        whole = whole.unionByName(s)
+    keys = [c for c in whole.columns if c != "n"]
+    return whole.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def roll_up(state: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The state of coarser groups, e.g. of zones from that of zones and days."""
+    return state.groupBy(*groups, "value").agg(F.sum("n").alias("n"))
+
+
+def percentiles_of(state: DataFrame, groups: Sequence[str], quantiles: Sequence[float], bands: int = BANDS) -> DataFrame:
+    """(groups..., n, quantile, percentile) of a state.
+
+    The range sort is by bands of values whose bounds come from one small sketch of the distinct values; the
+    running sum of a group is then spread over as many tasks as there are bands, whatever the group's size.
+    """
+    groups = list(groups)
+    bounds = state.agg(F.percentile_approx("value", F.array(*[F.lit(i / bands) for i in range(1, bands)]), F.lit(10_000)).alias("b"))
+    s = state.crossJoin(F.broadcast(bounds))  # one row
+    # The band is the number of bounds below the value: the same for equal values, and growing with them.
+    s = s.withColumn("band", F.size(F.filter("b", lambda x: x < F.col("value")))).drop("b")
+    totals = s.groupBy(*groups, "band").agg(F.sum("n").alias("band_n"))
+    by_group = Window.partitionBy(*groups)
+    totals = totals.withColumn("offset", F.sum("band_n").over(by_group.orderBy("band")) - F.col("band_n")).withColumn("total", F.sum("band_n").over(by_group)).drop("band_n")
+    left, right = s.alias("s"), totals.alias("t")
+    on = F.col("s.band") == F.col("t.band")
+    for g in groups:
+        on = on & F.col(f"s.{g}").eqNullSafe(F.col(f"t.{g}"))
+    s = left.join(right, on).select(*[F.col(f"s.{g}") for g in groups], "s.band", "s.value", "s.n", "t.offset", "t.total")
+    running = F.sum("n").over(Window.partitionBy(*groups, "band").orderBy("value"))
+    s = s.withColumn("upto", F.col("offset") + running).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q") * F.col("total"), 6)))
+    hit = s.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    return hit.select(*groups, F.col("total").alias("n"), F.col("q").alias("quantile"), F.col("value").alias("percentile"))
+
+
+def percentiles(df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float], resolution: float | None = None) -> DataFrame:
+    return percentiles_of(value_counts(df, groups, value, resolution), groups, quantiles)
