@@ -51,7 +51,7 @@ class IntervalMap:
         return zip(self.ends[:-1], self.starts[1:])
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch], slice_s: int) -> Iterator[pa.RecordBatch]:
     """Rows grouped by (entity, slice) to the periods of each; state of one group at a time."""
     out_schema = pa.schema([("entity", pa.string()), ("slice", pa.int64()), ("period_start", pa.int64()), ("period_end", pa.int64()), ("carried", pa.bool_())])
     now, state, carry = None, IntervalMap(), None
@@ -59,7 +59,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         for s, e in state.periods():
-            rows.append((now[0], now[1], s, e, carry is not None and s <= carry))
+            rows.append((now[0], now[1], s, e, carry is not None and s < carry))
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[]] * 5
@@ -73,8 +73,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     close()
                 now, state, carry = (entity, piece), IntervalMap(), before
-                if before is not None:  # covered up to here by earlier slices; the place where the slice continues
-                    state.insert(before - 1, before)
+                if before is not None:  # earlier slices cover from this slice's start, or from before it, up to here
+                    state.insert(min(before - 1, piece * slice_s), before)
             state.insert(start, end)
             if len(rows) >= 50_000:
                 yield flush()
@@ -108,7 +108,7 @@ def merged_periods(df: DataFrame, *, entity: str, start: str, ends: list[str], s
     else:
         d = d.withColumn("before", F.lit(None).cast("long"))
     d = d.select("entity", "slice", "s", "e", "before").repartition("entity", "slice").sortWithinPartitions("entity", "slice")
-    return d.mapInArrow(_fold, "entity string, slice long, period_start long, period_end long, carried boolean")
+    return d.mapInArrow(lambda batches: _fold(batches, slice_s), "entity string, slice long, period_start long, period_end long, carried boolean")
 
 
 def gaps(periods: DataFrame) -> DataFrame:
