@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideloom.plans import problems
+from rideloom.plans import joining, problems, reading
 
-_MODULES = [problems]
+_MODULES = [problems, reading, joining]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
