@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideloom.plans import joining, problems, reading
+from rideloom.plans import aggregating, joining, problems, reading, windowing
 
-_MODULES = [problems, reading, joining]
+_MODULES = [problems, reading, joining, aggregating, windowing]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
