@@ -51,11 +51,11 @@ def _(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.min_by("l_shipdate", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first_ship"))
 
 
-@q("agg06", "SELECT CAST(floor(epoch(recorded_at) / 3600) AS BIGINT) AS hour, zone_id, count(*) AS n, round(sum(speed_kmh), 2) AS speed_sum, round(sum(speed_kmh) / count(speed_kmh), 4) AS speed_avg FROM processed_locations WHERE NOT isnan(speed_kmh) GROUP BY ALL")
+@q("agg06", "SELECT CAST(floor(epoch(recorded_at) / 3600) AS BIGINT) AS hour, zone_id, count(*) AS n, round(sum(speed_kmh), 2) AS speed_sum, round(sum(speed_kmh) / count(speed_kmh), 8) AS speed_avg FROM processed_locations WHERE NOT isnan(speed_kmh) GROUP BY ALL")
 def _(spark, d):
     p = t(spark, d, "processed_locations").where(~F.isnan("speed_kmh"))
     h = F.expr("unix_seconds(recorded_at) div 3600")
-    return p.groupBy(h.alias("hour"), "zone_id").agg(n_rows().alias("n"), F.round(F.sum("speed_kmh"), 2).alias("speed_sum"), r4(F.sum("speed_kmh") / F.count("speed_kmh")).alias("speed_avg"))
+    return p.groupBy(h.alias("hour"), "zone_id").agg(n_rows().alias("n"), F.round(F.sum("speed_kmh"), 2).alias("speed_sum"), F.round(F.sum("speed_kmh") / F.count("speed_kmh"), 8).alias("speed_avg"))
 
 
 @q("agg07", "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
