@@ -28,3 +28,94 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     x = F.sin(dlon) * F.cos(la2)
     y = F.cos(la1) * F.sin(la2) - F.sin(la1) * F.cos(la2) * F.cos(dlon)
     return F.pmod(F.degrees(F.atan2(x, y)) + 360, F.lit(360.0))
+
+
+def destination(lat: Column, lon: Column, bearing_deg: Column, km: Column) -> tuple[Column, Column]:
+    """Where one arrives, rounded to 6 decimals."""
+    d, b, la = km / EARTH_KM, F.radians(bearing_deg), F.radians(lat)
+    la2 = F.asin(F.sin(la) * F.cos(d) + F.cos(la) * F.sin(d) * F.cos(b))
+    lo2 = F.radians(lon) + F.atan2(F.sin(b) * F.sin(d) * F.cos(la), F.cos(d) - F.sin(la) * F.sin(la2))
+    return F.round(F.degrees(la2), 6), F.round(F.degrees(lo2), 6)
+
+
+def box_around(lat: Column, lon: Column, km: float) -> dict[str, Column]:
+    """Bounding box of a radius at 111.32 km a degree, cut at the poles and the date line."""
+    dla = km / 111.32
+    dlo = F.lit(dla) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9))
+    cut = lambda c, most: F.greatest(F.least(c, F.lit(float(most))), F.lit(-float(most)))
+    return {"lat_min": cut(lat - dla, 90), "lat_max": cut(lat + dla, 90), "lon_min": cut(lon - dlo, 180), "lon_max": cut(lon + dlo, 180)}
+
+
+#: Fixed value: the digits of geohash.
+GEOHASH_DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash(lat: Column, lon: Column, precision: int) -> Column:
+    """Interleaved binary digits of longitude and latitude, five to a sign; 1 to 12 signs."""
+    if not 1 <= precision <= 12:
+        raise ValueError("precision is 1 to 12")
+    bits = 5 * precision
+    n_lon, n_lat = (bits + 1) // 2, bits // 2
+    x = F.least(F.floor((lon + 180) / 360 * 2.0**n_lon), F.lit(2**n_lon - 1)).cast("long")
+    y = F.least(F.floor((lat + 90) / 180 * 2.0**n_lat), F.lit(2**n_lat - 1)).cast("long")
+    signs = []
+    for s in range(precision):
+        v = F.lit(0).cast("long")
+        for k in range(5):
+            i = 5 * s + k
+            source, n, j = (x, n_lon, i // 2) if i % 2 == 0 else (y, n_lat, i // 2)
+            v = v * 2 + F.shiftright(source, n - 1 - j).bitwiseAND(F.lit(1))
+        signs.append(F.substring(F.lit(GEOHASH_DIGITS), (v + 1).cast("int"), F.lit(1)))
+    return F.when(is_finite(lat, lon), F.concat(*signs))
+
+
+def is_finite(lat: Column, lon: Column) -> Column:
+    return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
+
+
+def geohash_box(code: Column) -> Column:
+    """struct(lat_min, lat_max, lon_min, lon_max) of a code."""
+    digit = lambda i: (F.instr(F.lit(GEOHASH_DIGITS), F.substring(code, i, F.lit(1))) - 1).cast("long")
+
+    def bits(v: Column, *places: int) -> Column:
+        total = F.lit(0).cast("long")
+        for p in places:
+            total = total * 2 + F.shiftright(v, p).bitwiseAND(F.lit(1))
+        return total
+
+    def step(acc: Column, i: Column) -> Column:
+        v, odd = digit(i), i % 2 == 1
+        three, two = bits(v, 4, 2, 0), bits(v, 3, 1)
+        lat = F.when(odd, acc["lat"] * 4 + two).otherwise(acc["lat"] * 8 + three)
+        lon = F.when(odd, acc["lon"] * 8 + three).otherwise(acc["lon"] * 4 + two)
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    n = F.aggregate(F.sequence(F.lit(1), F.length(code)), F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon")), step)
+    h, w = 180.0 / F.pow(2.0, F.floor(F.length(code) * 5 / 2)), 360.0 / F.pow(2.0, F.ceil(F.length(code) * 5 / 2))
+    return F.struct((n["lat"] * h - 90).alias("lat_min"), ((n["lat"] + 1) * h - 90).alias("lat_max"), (n["lon"] * w - 180).alias("lon_min"), ((n["lon"] + 1) * w - 180).alias("lon_max"))
+
+
+def geohash_neighbours(lat: Column, lon: Column, precision: int) -> Column:
+    """The eight cells around that of a point: longitude wraps, latitude stops at the poles."""
+    bits = 5 * precision
+    h, w = 180.0 / 2 ** (bits // 2), 360.0 / 2 ** ((bits + 1) // 2)
+    around = []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            if i or j:
+                la = F.greatest(F.least(lat + i * h, F.lit(90.0)), F.lit(-90.0))
+                around.append(geohash(la, F.pmod(lon + j * w + 180, F.lit(360.0)) - 180, precision))
+    return F.array_distinct(F.array(*around))
+
+
+def hex_cell(lat: Column, lon: Column, res: int) -> Column:
+    """A simulated hexagonal cell id: axial coordinates cut towards zero, not the public H3 system."""
+    size = 10.0 / 2**res
+    q, r = (lon / size * (2.0 / 3)).cast("int"), ((lat - lon * 0.5) / size * (2.0 / 3)).cast("int")
+    return F.concat_ws("_", F.lit(str(res)), q.cast("string"), r.cast("string"))
+
+
+def hex_disk(q: Column, r: Column, k: int) -> Column:
+    """Array of struct(q, r) within k steps of a cell."""
+    cells = [(i, j) for i in range(-k, k + 1) for j in range(max(-k, -i - k), min(k, -i + k) + 1)]
+    return F.array(*[F.struct((q + i).alias("q"), (r + j).alias("r")) for i, j in cells])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideloom.plans import aggregating, joining, problems, reading, warehouse, windowing
+from rideloom.plans import aggregating, joining, problems, reading, scalars, warehouse, windowing
 
-_MODULES = [problems, reading, joining, aggregating, windowing, warehouse]
+_MODULES = [problems, reading, joining, aggregating, windowing, warehouse, scalars]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
