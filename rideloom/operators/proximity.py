@@ -23,9 +23,11 @@ from rideloom.common import need
 from rideloom.functions.geo import EARTH_M, haversine, is_place
 
 #: Cell width in radii and in time reaches.
-CELL_RADII, CELL_REACHES = 6.0, 4.0
+CELL_RADII, CELL_REACHES = 8.0, 6.0
 #: Points lying in one cell from which on the cell is dealt over parts of so many points.
 CROWD = 2000
+#: A list of crowded cells up to this length goes to every executor; a longer one is joined by a shuffle.
+MOST_CROWDED = 10_000
 METRES_A_DEGREE = EARTH_M * math.pi / 180
 
 
@@ -66,33 +68,62 @@ def near_pairs(points: DataFrame, *, id_col: str, lat: str, lon: str, radius_m:
     cols = [id_col, lat, lon] + [c for c in (group, ts) if c]
     p = need(points, *cols).select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), (F.col(group) if group else F.lit(None).cast("string")).alias("grp"), (F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")).alias("us"))
     p = p.where(is_place(F.col("lat"), F.col("lon")) & F.col("id").isNotNull() & F.col("us").isNotNull())
+    if group:
+        p = p.where(F.col("grp").isNotNull()).withColumn("grp", _short_key(p, "grp"))
+    p = p.withColumn("id", _packed(F.col("id").cast("string")))
     radius_deg = radius_m / METRES_A_DEGREE
     step = radius_deg * CELL_RADII
     reach_us = int((reach_s or 0) * 1_000_000)
     bucket = max(1, int(reach_us * CELL_REACHES))
-    p = p.withColumn("bucket", F.floor(F.col("us") / bucket).cast("long") if ts else F.lit(0).cast("long"))
-    row, col = _home(F.col("lat"), F.col("lon"), step)
-    buckets = F.sequence(F.floor((F.col("us") - reach_us) / bucket).cast("long"), F.floor((F.col("us") + reach_us) / bucket).cast("long")) if ts else F.array(F.lit(0).cast("long"))
-    # One shuffle for both roles: each point is emitted to every cell it touches, and knows whether it lives there.
-    touched = p.withColumn("home_row", row).withColumn("home_col", col)
-    touched = touched.withColumn("cell", F.explode(_reached(F.col("lat"), F.col("lon"), step, radius_deg))).withColumn("b", F.explode(buckets))
-    lives = (F.col("cell.row") == F.col("home_row")) & (F.col("cell.col") == F.col("home_col")) & (F.col("b") == F.col("bucket"))
-    t = touched.select(F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "b", lives.alias("lives"), "id", "lat", "lon", "grp", "us")
-    counts = t.where("lives").groupBy("row", "col", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
-    parts = counts.select(F.col("row").alias("crow"), F.col("col").alias("ccol"), F.col("b").alias("cb"), F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
-    t = t.join(parts, (F.col("row") == F.col("crow")) & (F.col("col") == F.col("ccol")) & (F.col("b") == F.col("cb")), "left").drop("crow", "ccol", "cb")
-    t = t.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    home = t.where("lives").select("row", "col", "b", mine.alias("part"), F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("grp").alias("grp_a"), F.col("us").alias("us_a"))
-    visit = t.select("row", "col", "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("grp").alias("grp_b"), F.col("us").alias("us_b"))
-    pairs = home.hint("merge").join(visit, ["row", "col", "b", "part"])
-    pairs = pairs.where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= reach_us))
-    if group:
-        pairs = pairs.where(F.col("grp_a") != F.col("grp_b"))
+    at = lambda us: F.floor(us / bucket).cast("long")
+    home_row, home_col = _home(F.col("lat"), F.col("lon"), step)
+    home_bucket = at(F.col("us")) if ts else F.lit(0).cast("long")
+    p = p.withColumn("home", F.xxhash64(home_row, home_col, home_bucket))
+    # The key of a cell is a hash: cells that share one by chance only bring candidates the exact tests turn away.
+    counts = p.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    crowded = counts.select(F.col("home").alias("cell"), F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    some = crowded.limit(MOST_CROWDED + 1).count()
+    home = p.withColumn("cell", F.col("home"))
+    buckets = F.sequence(at(F.col("us") - reach_us), at(F.col("us") + reach_us)) if ts else F.array(F.lit(0).cast("long"))
+    touched = F.flatten(F.transform(_reached(F.col("lat"), F.col("lon"), step, radius_deg), lambda c: F.transform(buckets, lambda b: F.xxhash64(c["row"], c["col"], b))))
+    visit = p.withColumn("cell", F.explode(F.array_distinct(touched)))
+    if some:
+        crowded = F.broadcast(crowded) if some <= MOST_CROWDED else crowded
+        parts = F.coalesce("parts", F.lit(1))
+        home = home.join(crowded, "cell", "left").withColumn("cell", F.xxhash64("cell", F.pmod(F.xxhash64("id"), parts)))
+        visit = visit.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).withColumn("cell", F.xxhash64("cell", "part"))
+    a = home.select("cell", F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("grp").alias("grp_a"), F.col("us").alias("us_a"))
+    b = visit.select("cell", F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("grp").alias("grp_b"), F.col("us").alias("us_b"))
     # A cheap box test first, then the exact distance.
-    pairs = pairs.where(F.abs(F.col("lat_a") - F.col("lat_b")) <= radius_deg * 1.000001)
-    pairs = pairs.withColumn("distance_m", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("distance_m") <= radius_m)
-    return pairs.groupBy("id_a", "id_b").agg(F.min("distance_m").alias("distance_m"))
+    on = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("us_a") - F.col("us_b")) <= reach_us) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= radius_deg * 1.000001)
+    if group:
+        on = on & (F.col("grp_a") != F.col("grp_b"))
+    pairs = a.hint("merge").join(b, "cell").where(on)
+    pairs = pairs.withColumn("m", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("m") <= radius_m)
+    pairs = pairs.groupBy("id_a", "id_b").agg(F.min("m").alias("distance_m"))
+    x, y = _unpacked(F.col("id_a")), _unpacked(F.col("id_b"))
+    return pairs.select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"), "distance_m")
+
+
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def _packed(text: Column) -> Column:
+    """Bytes of a text, reversibly: half a byte a sign for lower-case UUIDs, which halves what is shuffled."""
+    return F.when(text.rlike(_UUID), F.concat(F.unhex(F.lit("01")), F.unhex(F.translate(text, "-", "")))).otherwise(F.concat(F.unhex(F.lit("02")), F.encode(text, "utf-8")))
+
+
+def _unpacked(packed: Column) -> Column:
+    body = F.substring(packed, 2, 2**31 - 1)
+    h = F.lower(F.hex(body))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.when(F.hex(F.substring(packed, 1, 1)) == "01", uuid).otherwise(F.decode(body, "utf-8"))
+
+
+def _short_key(df: DataFrame, c: str) -> Column:
+    """A hash that tells the values of a column apart; the column itself in the improbable case that it doesn't."""
+    n = df.select(c).distinct().agg(F.count(F.lit(1)).alias("a"), F.count_distinct(F.xxhash64(c)).alias("b")).first()
+    return F.xxhash64(c) if n["a"] == n["b"] else F.col(c)
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, *, lat: str, lon: str, box_id: str, cell_deg: float = 0.02, most_broadcast: int = 10_000) -> DataFrame:
