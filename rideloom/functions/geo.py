@@ -50,6 +50,9 @@ def box_around(lat: Column, lon: Column, km: float) -> dict[str, Column]:
 GEOHASH_DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
+_BASE32 = "0123456789abcdefghijklmnopqrstuv"
+
+
 def geohash(lat: Column, lon: Column, precision: int) -> Column:
     """Interleaved binary digits of longitude and latitude, five to a sign; 1 to 12 signs."""
     if not 1 <= precision <= 12:
@@ -58,15 +61,10 @@ def geohash(lat: Column, lon: Column, precision: int) -> Column:
     n_lon, n_lat = (bits + 1) // 2, bits // 2
     x = F.least(F.floor((lon + 180) / 360 * 2.0**n_lon), F.lit(2**n_lon - 1)).cast("long")
     y = F.least(F.floor((lat + 90) / 180 * 2.0**n_lat), F.lit(2**n_lat - 1)).cast("long")
-    signs = []
-    for s in range(precision):
-        v = F.lit(0).cast("long")
-        for k in range(5):
-            i = 5 * s + k
-            source, n, j = (x, n_lon, i // 2) if i % 2 == 0 else (y, n_lat, i // 2)
-            v = v * 2 + F.shiftright(source, n - 1 - j).bitwiseAND(F.lit(1))
-        signs.append(F.substring(F.lit(GEOHASH_DIGITS), (v + 1).cast("int"), F.lit(1)))
-    return F.when(is_finite(lat, lon), F.concat(*signs))
+    split = lambda v, n: F.split(F.lpad(F.bin(v), n, "0"), "")
+    woven = F.array_join(F.flatten(F.zip_with(split(x, n_lon), split(y, n_lat), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    code = F.translate(F.lpad(F.lower(F.conv(woven, 2, 32)), precision, "0"), _BASE32, GEOHASH_DIGITS)
+    return F.when(is_finite(lat, lon), code)
 
 
 def is_finite(lat: Column, lon: Column) -> Column:
@@ -75,22 +73,9 @@ def is_finite(lat: Column, lon: Column) -> Column:
 
 def geohash_box(code: Column) -> Column:
     """struct(lat_min, lat_max, lon_min, lon_max) of a code."""
-    digit = lambda i: (F.instr(F.lit(GEOHASH_DIGITS), F.substring(code, i, F.lit(1))) - 1).cast("long")
-
-    def bits(v: Column, *places: int) -> Column:
-        total = F.lit(0).cast("long")
-        for p in places:
-            total = total * 2 + F.shiftright(v, p).bitwiseAND(F.lit(1))
-        return total
-
-    def step(acc: Column, i: Column) -> Column:
-        v, odd = digit(i), i % 2 == 1
-        three, two = bits(v, 4, 2, 0), bits(v, 3, 1)
-        lat = F.when(odd, acc["lat"] * 4 + two).otherwise(acc["lat"] * 8 + three)
-        lon = F.when(odd, acc["lon"] * 8 + three).otherwise(acc["lon"] * 4 + two)
-        return F.struct(lat.alias("lat"), lon.alias("lon"))
-
-    n = F.aggregate(F.sequence(F.lit(1), F.length(code)), F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon")), step)
+    woven = F.split(F.lpad(F.conv(F.translate(code, GEOHASH_DIGITS, _BASE32), 32, 2), F.length(code) * 5, F.lit("0")), "")
+    number = lambda odd: F.conv(F.array_join(F.filter(woven, lambda x, i: i % 2 == odd), ""), 2, 10).cast("double")
+    n = {"lon": number(0), "lat": number(1)}
     h, w = 180.0 / F.pow(2.0, F.floor(F.length(code) * 5 / 2)), 360.0 / F.pow(2.0, F.ceil(F.length(code) * 5 / 2))
     return F.struct((n["lat"] * h - 90).alias("lat_min"), ((n["lat"] + 1) * h - 90).alias("lat_max"), (n["lon"] * w - 180).alias("lon_min"), ((n["lon"] + 1) * w - 180).alias("lon_max"))
 
