@@ -86,13 +86,13 @@ def _(spark, d):
     return x.select("vec_id", r(S.cosine(F.col("embedding"), S.fitted(half, size)), 4).alias("cosine"))
 
 
-_UI = "SELECT l_suppkey AS u, l_partkey % 200 AS i, avg(l_quantity) AS r FROM lineitem WHERE l_suppkey < 30 GROUP BY ALL"
+_UI = "SELECT l_suppkey AS u, l_partkey AS i, avg(l_quantity) AS r FROM lineitem GROUP BY ALL"
 
 
 @q("fn11", f"WITH x AS ({_UI}) SELECT a.u AS a, b.u AS b, round(sum(a.r * b.r) / (sqrt(sum(a.r * a.r)) * sqrt(sum(b.r * b.r))), 5) AS similarity FROM x a JOIN x b ON a.i = b.i AND a.u < b.u GROUP BY ALL")
 def _(spark, d):
     """Over co-rated items only."""
-    x = t(spark, d, "lineitem").where("l_suppkey < 30").groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 200).alias("i")).agg(F.avg("l_quantity").alias("r"))
+    x = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("i")).agg(F.avg("l_quantity").alias("r"))
     a, b = x.select("i", F.col("u").alias("a"), F.col("r").alias("ra")), x.select("i", F.col("u").alias("b"), F.col("r").alias("rb"))
     j = a.join(b, "i").where("a < b")
     return j.groupBy("a", "b").agg(r(F.sum(F.col("ra") * F.col("rb")) / (F.sqrt(F.sum(F.col("ra") ** 2)) * F.sqrt(F.sum(F.col("rb") ** 2)))).alias("similarity"))

@@ -428,11 +428,11 @@ def _(spark, d):
 
 
 def _edges(spark, d):
-    """A small lineage: each part feeds the one of half its number."""
-    return t(spark, d, "part").where("p_partkey BETWEEN 1 AND 400").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    """A lineage: each part feeds the one of half its number."""
+    return t(spark, d, "part").where("p_partkey >= 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
 
 
-_EDGE = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey BETWEEN 1 AND 400"
+_EDGE = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 1"
 _CLO = f"WITH RECURSIVE e AS ({_EDGE}), c AS (SELECT src AS start, dst AS node, 1 AS depth FROM e WHERE src IN (399, 200, 7) UNION ALL SELECT c.start, e.dst, c.depth + 1 FROM c JOIN e ON c.node = e.src)"
 
 
