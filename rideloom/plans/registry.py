@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rideloom.plans import aggregating, joining, learning, problems, reading, scalars, warehouse, windowing
+from rideloom.plans import aggregating, flowing, joining, learning, problems, reading, scalars, warehouse, windowing
 
-_MODULES = [problems, reading, joining, aggregating, windowing, warehouse, scalars, learning]
+_MODULES = [problems, reading, joining, aggregating, windowing, warehouse, scalars, learning, flowing]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
