@@ -43,8 +43,7 @@ MOST_NAMES = 200_000
 _DOT = r"(?:\.|\s\.\s|\s+dot\s+|\s*\[\s*dot\s*\]\s*|\s*\(\s*dot\s*\)\s*|\s+punkt\s+|\s+punto\s+|\s+ponto\s+|\s+point\s+)"
 _LOCAL = r"[\p{L}\p{M}\p{N}_](?:[\p{L}\p{M}\p{N}_+\-]|\.(?=[\p{L}\p{M}\p{N}_+\-]))*"
 _LABEL = r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}\-]*[\p{L}\p{M}\p{N}])?"
-_PLAIN_EMAIL = regex.compile(rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.\p{{L}}{{2,}}", regex.I)
-_AT_SIGN = regex.compile(r"\s*@\s*|\s+at\s+|\s*\[\s*at\s*\]\s*|\s*\(\s*at\s*\)\s*|\s+arroba\s+", regex.I)
+_AT_SIGN = regex.compile(r"@|(?<=\s)at(?=\s)|\[\s*at\s*\]|\(\s*at\s*\)|(?<=\s)arroba(?=\s)", regex.I)
 _DOMAIN = regex.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}", regex.I)
 _BEFORE_AT = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.+\-]){_LOCAL}(?:(?:\s+dot\s+|\s*\[dot\]\s*|\s*\(dot\)\s*){_LOCAL})*$", regex.I)
 PHONE = [
@@ -65,7 +64,16 @@ NATIONAL_ID = [
     ("xletter", regex.compile(r"(?<![\w#\-])[XYZ][\s\-]?\d{7}[\s\-]?[A-Z](?!\w)", regex.I)),
     ("trailing", regex.compile(r"(?<![\w#\-])\d{8}[\s\-]?[A-Z](?!\w)", regex.I)),
 ]
+#: What a form needs, found fast from its digits.
+_ONLY_WITH = {
+    "nanp": regex.compile(r"\d{3}\)?[\s.\-]\d{3}"),
+    "nanp2": regex.compile(r"\d{3}[\s.\-]\d{3}[\s.\-]\d{2}"),
+    "letters": regex.compile(r"\d\d\s?\d\d\s?\d\d\s?[A-Za-z](?!\w)"),
+    "prefix": regex.compile(r"\d{4}[\s\-]?\d{4}[\s\-]?\d(?!\w)"),
+}
 #: Words of addresses.
+_GERMAN_ENDS = ("strasse", "str", "weg", "gasse", "platz", "allee", "ufer", "damm", "ring", "steig", "markt", "kamp", "hof", "feld", "berg", "stieg", "pfad", "graben", "chaussee", "promenade", "wall", "tor")
+_GERMAN_WORDS = frozenset("am an der den im in zum zur auf dem alte alter altes neue neuer neues".split())
 _STREET = r"(?:street|st|road|rd|avenue|ave|boulevard|blvd|lane|ln|way|crescent|cres|drive|dr|court|ct|square|sq|terrace|ter|place|pl|row|quay|close|walk|hill|parade|grove|mews)"
 _ROMANCE = r"(?:rue|avenue|av\.?|boulevard|bd|allée|allee|quai|place|chemin|impasse|calle|c/|avenida|avda\.?|paseo|plaza|camino|ronda|rua|travessa|praça|praca|largo|estrada|via|viale|piazza|corso)"
 _IBERIAN = r"(?:calle|c/|avenida|avda\.?|paseo|plaza|camino|ronda|rua|travessa|praça|praca|largo|estrada|via|viale|piazza|corso)"
@@ -84,7 +92,7 @@ ADDRESS = [
 ]
 #: Letters of scripts that write words apart; a byte pair read as Latin-1 (Ã¶) counts as a letter.
 _LETTERS = r"(?:[\p{Latin}\p{Cyrillic}\p{Greek}\p{Arabic}\p{Devanagari}\p{M}]|(?<=[ÃÂ])[\x80-\xbf])+"
-_TOKEN = regex.compile(rf"{_LETTERS}(?:['’](?!s\b|S\b){_LETTERS})*\.?|\d+|[^\s\p{{L}}\p{{M}}\d]|\p{{L}}")
+_TOKEN = regex.compile(rf"{_LETTERS}(?:['’](?!s\b|S\b){_LETTERS})*\.?|\d+|[\r\n]+|[^\s\p{{L}}\p{{M}}\d]|\p{{L}}")
 _SIGN = regex.compile(r"[\p{L}\p{M}\p{N}]+|[\r\n]+|[^\s\p{L}\p{M}\p{N}]")
 #: Particles of names, titles, months and words that make a capitalised phrase a place or firm.
 PARTICLES = frozenset("da de di do dos du del della der den van von al el la le ter bin ibn ben af av zu mac mc o d".split())
@@ -115,6 +123,7 @@ class Names:
     endings: frozenset[str] = field(default_factory=frozenset)
     stems: frozenset[str] = field(default_factory=frozenset)
     seen: dict[str, str] = field(default_factory=dict)  # kinds of words met before, emptied when large
+    classes: dict[str, dict[str, str]] = field(default_factory=dict)  # classes of tokens by case of the text
 
     @staticmethod
     def of(rows: Iterable[tuple[str, str]]) -> Names:
@@ -165,18 +174,33 @@ class Span:
 # ---- candidates -------------------------------------------------------------------------------------------------
 
 
+_PLAIN_WORDS: dict[str, str] = {}
+
+
 class Signs:
-    """Words, signs and line ends of a text in order, to look up what stands before and after a place."""
+    """Tokens of a text, and its words, signs and line ends in order, to look up what stands before and after a place."""
 
-    __slots__ = ("ends", "starts", "words")
+    __slots__ = ("ends", "starts", "tokens", "words")
 
     def __init__(self, text: str) -> None:
-        self.starts, self.ends, self.words = [], [], []
-        for m in _SIGN.finditer(text):
-            w = m.group()
-            self.starts.append(m.start())
-            self.ends.append(m.end())
-            self.words.append("\n" if w[0] in "\r\n" else "0" if w[0].isdigit() else plain(w))
+        self.tokens = tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        self.starts, self.ends, self.words = starts, ends, words = [], [], []
+        for w, a, b in tokens:
+            p = _PLAIN_WORDS.get(w)
+            if p is not None:  # the usual case: one word or sign
+                starts.append(a)
+                ends.append(b)
+                words.append(p)
+                continue
+            parts = [(m.group(), a + m.start(), a + m.end()) for m in _SIGN.finditer(w)]
+            for x, c, e in parts:
+                starts.append(c)
+                ends.append(e)
+                words.append("\n" if x[0] in "\r\n" else "0" if x[0].isdigit() else plain(x))
+            if len(parts) == 1 and parts[0][0] == w:
+                if len(_PLAIN_WORDS) > 200_000:
+                    _PLAIN_WORDS.clear()
+                _PLAIN_WORDS[w] = words[-1]
 
     def left(self, at: int) -> tuple[str, str, str]:
         """Three before a place, nearest first."""
@@ -209,22 +233,33 @@ def candidates(text: str, names: Names) -> list[Span]:
             spans[key] = _context(kind, signs, start, end)
         spans[key] += [f"{kind}|{f}" for f in features]
 
-    for m in _PLAIN_EMAIL.finditer(text) if "@" in text else ():
-        add(m.start(), m.end(), "email", "form=plain")
     for m in _AT_SIGN.finditer(text):
-        domain = _DOMAIN.match(text, m.end())
-        local = domain and _BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
+        lo, hi = m.span()
+        while hi < len(text) and text[hi].isspace():
+            hi += 1
+        domain = _DOMAIN.match(text, hi)
+        if domain is None:
+            continue
+        while lo and text[lo - 1].isspace():
+            lo -= 1
+        local = _BEFORE_AT.search(text, max(0, lo - 80), lo)
         if local:
-            add(local.start(), domain.end(), "email", "form=spelled", f"at={m.group().strip().lower()}", f"dot={'.' in domain.group()}")
+            at = text[lo:hi]
+            add(local.start(), domain.end(), "email", "form=plain" if at == "@" else "form=spelled", f"at={at.strip().lower()}", f"dot={'.' in domain.group()}")
     if regex.search(r"\d", text):
         for kind, forms in (("phone", PHONE), ("national_id", NATIONAL_ID)):
             for form, rx in forms:
+                if form in _ONLY_WITH and not _ONLY_WITH[form].search(text):
+                    continue
                 for m in rx.finditer(text):
                     shape = _digits(m.group())
                     add(m.start(), m.end(), kind, f"form={form}", f"shape={shape[:24]}", f"head={shape[:2]}", f"first={m.group()[0]}", f"digits={sum(c.isdigit() for c in m.group())}", *([f"part={m.group()[:3].strip('+(')}"] if kind == "phone" else []))
                     if kind == "phone" and "\n" in m.group():
                         spans[(m.start(), m.end(), kind)].append("phone|line")
+        german = any(w == "0" and i and (signs.words[i - 1].endswith(_GERMAN_ENDS) or i > 1 and (signs.words[i - 2] in _GERMAN_WORDS or signs.words[i - 1] == "." and signs.words[i - 2].endswith("str"))) for i, w in enumerate(signs.words))
         for form, rx in ADDRESS:
+            if form == "german" and not german:
+                continue
             for m in rx.finditer(text, overlapped=True):
                 whole, ends = m.group(), {m.end()}
                 for g in ("town", "unit"):  # with and without town and unit
@@ -261,32 +296,50 @@ def candidates(text: str, names: Names) -> list[Span]:
 TOWNS = frozenset("port oren calder bay estmark norrby vellin".split())
 
 
-def _people(text: str, names: Names, signs: Signs, add) -> None:
-    cased = sum(map(str.isupper, text)), sum(map(str.islower, text))
-    mode = "U" if cased[1] < cased[0] else "L" if cased[0] * 200 < cased[1] and not regex.search(r"(?:^|[.!?]\s+)\p{Lu}\p{Ll}", text) else "M"
-    toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    cls: list[str] = []
-    for i, (w, s, e) in enumerate(toks):
-        word = w.rstrip(".")
-        if not word or not word[0].isalpha():
-            cls.append(w if w in "-,&" else "")
-            continue
-        p = plain(word)
-        k = names.kind(word)
+_CUE_ENDS = frozenset(c.rsplit(" ", 1)[-1] for c in CUES) | TITLES | {"."}
+_STARTS = frozenset(("C", "g", "f", "b", "m", "Gl", "Fl", "Bl", "Ml", "I", "p"))
+
+
+def _class_of(w: str, mode: str, names: Names, known: dict[str, str]) -> str:
+    """Kind of a token: name kinds of the list, I and i initials, p particle, C capitalised, Z and z places, w word."""
+    word = w.rstrip(".")
+    if not word or not word[0].isalpha():
+        c = w if w in "-,&" else ""
+    else:
+        p, k = plain(word), names.kind(word)
         if len(word) == 1 and (word.isupper() or mode == "L") and w.endswith("."):
-            cls.append("I")
+            c = "I"
         elif len(word) == 1 and word.isupper():
-            cls.append("i")
+            c = "i"
         elif k:
-            cls.append(k if (word[0].isupper() or mode != "M") else k.upper() + "l")
+            c = k if (word[0].isupper() or mode != "M") else k.upper() + "l"
         elif p in PARTICLES:
-            cls.append("p")
+            c = "p"
         elif word[0].isupper() and mode != "U" and not (len(word) > 3 and word.isupper()):
-            cls.append("C" if p not in PLACE_WORDS else "Z")
-        elif mode == "U" or mode == "L":
-            cls.append("z" if p in PLACE_WORDS else "w")
+            c = "Z" if p in PLACE_WORDS else "C"
         else:
-            cls.append("w")
+            c = "z" if mode != "M" and p in PLACE_WORDS else "w"
+    if len(known) > 200_000:
+        known.clear()
+    known[w] = c
+    return c
+
+
+def _people(text: str, names: Names, signs: Signs, add) -> None:
+    cased = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    mode = "U" if cased[1] < cased[0] else "L" if cased[0] * 200 < cased[1] and not regex.search(r"(?:^|[.!?]\s+)\p{Lu}\p{Ll}", text) else "M"
+    toks = signs.tokens
+    known = names.classes.setdefault(mode, {})
+    cls = [known.get(w) if w in known else _class_of(w, mode, names, known) for w, _, _ in toks]
+    # Places right after an opening or a title.
+    cued_at, sw = set(), signs.words
+    for k in range(len(sw)):
+        w0 = sw[k]
+        if w0 not in _CUE_ENDS:
+            continue
+        w1 = sw[k - 1] if k else "^"
+        if w0 in CUES or w0 in TITLES or (w0 == "." and w1 in TITLES) or f"{w1} {w0}" in CUES or f"{sw[k - 2] if k > 1 else '^'} {w1} {w0}" in CUES:
+            cued_at.add(signs.starts[k + 1] if k + 1 < len(sw) else -1)
     n = len(toks)
     strong = set("gfbm")
 
@@ -299,15 +352,12 @@ def _people(text: str, names: Names, signs: Signs, add) -> None:
 
     for i in range(n):
         c = cls[i]
-        if not (nameish(c) or c in ("I", "p")) or c in ("Z", "z"):
+        if c not in _STARTS and not (c == "w" and toks[i][1] in cued_at):
             continue
         prev = cls[i - 1] if i else ""
         if i and toks[i][1] == toks[i - 1][2] and (prev == "-" or toks[i - 1][0] in "@_+/#"):
             continue
-        lead = signs.left(toks[i][1])
-        cued = lead[0] in CUES or f"{lead[1]} {lead[0]}" in CUES or f"{lead[2]} {lead[1]} {lead[0]}" in CUES or lead[0] in TITLES or (lead[0] == "." and lead[1] in TITLES)
-        if c == "w" and not cued:
-            continue
+        cued = toks[i][1] in cued_at
         # Spans from i, token by token; a comma may stand once, between family and given name.
         shape, has, comma, j, known = [], False, False, i, False
         while j < n and j - i < MOST_NAME_TOKENS:
