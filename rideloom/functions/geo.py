@@ -11,9 +11,9 @@ EARTH_MILES = 3958.8
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
-    """Great-circle distance in the unit of the radius."""
+    """Great-circle distance in the unit of the radius; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))  # least() would turn null into 1
 
 
 def is_place(lat: Column, lon: Column) -> Column:

@@ -25,6 +25,8 @@ LONGEST_SILENCE_S = 1800
 MOST_STRAYS = 2
 #: Rolling medians look this far to either side; standing begins under the first displacement and ends over the second.
 LOOK_S, ENTER_M, LEAVE_M = 120, 45.0, 90.0
+#: A position this far from the median of the fifteen around it is left out of distances.
+GROSS_M = 20_000.0
 SLICE_HOURS = 24
 
 
@@ -82,8 +84,11 @@ def stops(pings: DataFrame, radius_m: float = RADIUS_M, least_s: int = LEAST_STO
     s = s.withColumn("edge", (F.col("still") != F.coalesce(F.lag("still").over(order), F.lit(-1))).cast("int"))
     s = s.withColumn("island", F.sum("edge").over(upto)).drop("edge", "moved")
     island = Window.partitionBy(*group, "island")
-    s = s.withColumn("clat", F.when(F.col("still") == 1, F.percentile_approx("lat", F.lit(0.5), F.lit(1000)).over(island)))
-    s = s.withColumn("clon", F.when(F.col("still") == 1, F.percentile_approx("lon", F.lit(0.5), F.lit(1000)).over(island)))
+    s = s.withColumns({c: F.when(F.col("still") == 1, F.percentile_approx(x, F.lit(0.5), F.lit(1000)).over(island)) for c, x in (("clat", "lat"), ("clon", "lon"))})
+    # Strays that agree among themselves look like a stretch of their own; what no more pings than strays are at is none.
+    there = F.coalesce(haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) <= radius_m, F.lit(False)).cast("int")
+    s = s.withColumn("still", F.when(F.sum(there).over(island) > most_strays, F.col("still")).otherwise(0))
+    s = s.withColumns({c: F.when(F.col("still") == 1, F.col(c)) for c in ("clat", "clon")})
     # Stretches at one place with few strays between them are one: compare with the place before.
     s = s.withColumn("no", F.when(F.col("still") == 1, F.col("island")))
     for _ in range(2):
@@ -177,7 +182,11 @@ def stops_and_trips(pings: DataFrame, **options) -> DataFrame:
     r = r.withColumn("here", F.last("stop", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     r = r.where(F.col("stop").isNull())
     r = r.withColumn("in_stop", F.coalesce((F.col("us") >= F.col("here.start_us")) & (F.col("us") <= F.col("here.end_us")), F.lit(False)))
+    # Gross strays first (more can follow each other than five pings outvote), then the small ones by the median of five.
     order = Window.partitionBy("driver_id", "session").orderBy("us", "lat", "lon")
+    wide = order.rowsBetween(-7, 7)
+    off = haversine(F.col("lat"), F.col("lon"), _median(F.collect_list("lat").over(wide)), _median(F.collect_list("lon").over(wide)))
+    r = r.withColumn("off", off).where(F.col("off") <= GROSS_M).drop("off")
     five = order.rowsBetween(-2, 2)
     r = r.withColumn("mlat", _median(F.collect_list("lat").over(five))).withColumn("mlon", _median(F.collect_list("lon").over(five)))
     step = haversine(F.lag("mlat").over(order), F.lag("mlon").over(order), F.col("mlat"), F.col("mlon"))

@@ -74,7 +74,9 @@ def test_stops_edge_cases(spark):
     away = [ping(20 + i, 44.0 + 0.005 * (i + 1)) for i in range(20)]
     df = spark.createDataFrame(at + away + at[:3] + [("d", None, None, T0, 1), (None, 44.0, -31.0, T0, 1)], schema)
     got = trips.stops_and_trips(df)
-    assert [(r.kind, r.duration_s) for r in got.orderBy("start_s").collect()] == [("stop", 570), ("trip", 570)]
+    got = got.orderBy("start_s").collect()
+    assert [(r.kind, r.duration_s) for r in got] == [("stop", 570), ("trip", 570)]
+    assert got[0].distance_m == 0 and abs(got[1].distance_m - 19 * 0.005 * 111195) < 1200  # strays add nothing
     assert trips.stops(spark.createDataFrame([], schema)).count() == 0
 
 
