@@ -43,6 +43,12 @@ def hot_keys(df: DataFrame, key: str, part: float = HOT_PART, least: int = HOT_R
     return [r[0] for r in top if r["n"] > bound]
 
 
+def tasks_for(df: DataFrame, rows_a_task: int = 100_000, most: int = 20_000) -> int:
+    """Tasks for work that costs much a row: partitions of equal bytes would be too few. Not fewer than the session's."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(most, -(-df.count() // rows_a_task)))
+
+
 def is_any(column: Column, values: Sequence[str]) -> Column:
     return column.isin(*values) if values else F.lit(False)
 

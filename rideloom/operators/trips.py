@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import hot_keys, is_any, need, time_slice
+from rideloom.common import hot_keys, is_any, need, tasks_for, time_slice
 from rideloom.functions.geo import haversine, is_place
 
 RADIUS_M = 100.0
@@ -64,8 +64,8 @@ def sessions(pings: DataFrame, silence_s: float = LONGEST_SILENCE_S, hot_part: f
 
 def stops(pings: DataFrame, radius_m: float = RADIUS_M, least_s: int = LEAST_STOP_S, silence_s: float = LONGEST_SILENCE_S, most_strays: int = MOST_STRAYS, **options) -> DataFrame:
     """(driver_id, session, stop_no, start_us, end_us, latitude, longitude, pings) of each stop."""
-    s = sessions(pings, silence_s, **options)
     group = ["driver_id", "session"]
+    s = sessions(pings, silence_s, **options).repartition(tasks_for(pings), *group)
     part = Window.partitionBy(*group)
     order = part.orderBy("us", "latitude", "longitude")
     good = is_place(F.col("latitude"), F.col("longitude"))
