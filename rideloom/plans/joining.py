@@ -177,6 +177,12 @@ def _(spark, d):
     return J.pairs_both_ways(e, "x", "y")
 
 
+@q("join17_whole", "SELECT DISTINCT least(a.l_suppkey, a.l_partkey) AS a, greatest(a.l_suppkey, a.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_partkey AND a.l_partkey = b.l_suppkey WHERE a.l_suppkey <> a.l_partkey")
+def _(spark, d):
+    """All rows with their real ids; the SQL of join17 is bound to a part of the rows and to folded ids."""
+    return J.pairs_both_ways(t(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
 @q("join18", "SELECT p.event_type AS parent, c.event_type AS child, count(*) AS calls FROM (SELECT event_id, event_type FROM events) p JOIN (SELECT event_id, event_type, event_id // 3 AS parent_id FROM events WHERE event_id > 0) c ON c.parent_id = p.event_id GROUP BY ALL")
 def _(spark, d):
     e = t(spark, d, "events").select("event_id", "event_type")
