@@ -147,6 +147,23 @@ def _(spark, d):
     return p.agg(F.count_distinct("source", "body").alias("distinct_rows"), n_rows().alias("rows"))
 
 
+_TEXT = "CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN CASE WHEN abs({c}) < 1e15 THEN CAST(CAST(CAST({c} AS DOUBLE) * {k} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END ELSE 'null' END AS {c}"
+
+
+@q("med05_whole", f"SELECT count(DISTINCT (driver_id, speed, heading, source)) AS distinct_rows, count(*) AS rows FROM (SELECT coalesce('d' || driver_id, 'null') AS driver_id, {_TEXT.format(c='speed', k=100)}, {_TEXT.format(c='heading', k=10)}, coalesce('s' || source, 'null') AS source FROM driver_locations)")
+def _(spark, d):
+    """med05 over every ping: null and NaN fields are stripped, numbers too large to round keep their own text."""
+
+    def text(c, k):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), F.when(F.abs(x) < 1e15, F.round(x * k).cast("long").cast("string")).otherwise(F.col(c).cast("string")))
+
+    p = t(spark, d, "driver_locations")
+    fields = F.map_filter(F.create_map(F.lit("driver_id"), F.col("driver_id"), F.lit("speed"), text("speed", 100), F.lit("heading"), text("heading", 10)), lambda k, v: v.isNotNull())
+    p = p.select("source", F.to_json(fields).alias("body"))
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct("source", "body")).alias("distinct_rows")).select("distinct_rows", "rows")
+
+
 @q("med06", "SELECT event_type, count(*) AS n, 'k' AS fields, min(CAST(props->>'k' AS INT)) AS lo, max(CAST(props->>'k' AS INT)) AS hi FROM events GROUP BY 1")
 def _(spark, d):
     e = t(spark, d, "events").select("event_type", F.from_json("props", "map<string,string>").alias("m"))

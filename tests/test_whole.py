@@ -11,3 +11,22 @@ def test_round_trips_of_all_rows(spark, small):
     want = {(min(e), max(e)) for e in edges if e[0] != e[1] and e[::-1] in edges}
     got = [(r.a, r.b) for r in QUERIES["join17_whole"](spark, small).collect()]
     assert want and sorted(got) == sorted(want)
+
+
+def test_silver_step_sees_every_ping(spark, small):
+    p = table(spark, small, "driver_locations")
+    got = QUERIES["med05_whole"](spark, small).first()
+    assert got.rows == p.count() > p.where("speed < 1000").count()
+    assert got.distinct_rows > p.where("speed < 1000").selectExpr("count(DISTINCT source, driver_id, speed, heading)").first()[0]
+
+
+def test_silver_step_of_odd_speeds(spark, tmp_path):
+    rows = [("d", None, 1.0, "s"), ("d", float("nan"), 1.0, "s"), ("d", 1e30, 1.0, "s"), ("d", float("inf"), 1.0, "s"), ("d", 2000.0, 1.0, "s"), ("d", 2000.0, 1.0, "s"), ("d", None, 1.0, None)]
+    spark.createDataFrame(rows, "driver_id string, speed float, heading float, source string").write.parquet(f"{tmp_path}/driver_locations.parquet")
+    assert tuple(QUERIES["med05_whole"](spark, str(tmp_path)).first()) == (5, 7)
+
+
+def test_every_year_of_orders_is_loaded(spark, small):
+    got = {r.part: r.n for r in QUERIES["src13_whole"](spark, small).collect()}
+    years = [str(r[0].year) for r in table(spark, small, "orders").select("o_orderdate").collect()]
+    assert got == {y: years.count(y) for y in set(years)} and len(got) > 2
