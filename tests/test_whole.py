@@ -1,5 +1,7 @@
 """Queries over all rows and real ids, against brute force on the smallest tables."""
 
+from collections import Counter
+
 import __spark_entry__ as entry
 from rideloom.common import table
 
@@ -30,3 +32,16 @@ def test_every_year_of_orders_is_loaded(spark, small):
     got = {r.part: r.n for r in QUERIES["src13_whole"](spark, small).collect()}
     years = [str(r[0].year) for r in table(spark, small, "orders").select("o_orderdate").collect()]
     assert got == {y: years.count(y) for y in set(years)} and len(got) > 2
+
+
+def test_pagerank_of_the_whole_graph(spark, small):
+    edges = [tuple(r) for r in table(spark, small, "lineitem").select("l_suppkey", "l_partkey").collect()]
+    nodes, out = {n for e in edges for n in e}, Counter(s for s, _ in edges)
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        got = dict.fromkeys(nodes, 0.0)
+        for s, t in edges:
+            got[t] += want[s] / out[s]
+        want = {n: 0.15 / len(nodes) + 0.85 * v for n, v in got.items()}
+    ranks = {r.node: r.rank for r in QUERIES["gr02"](spark, small).collect()}
+    assert ranks.keys() == nodes and all(abs(ranks[n] - v) <= 1e-9 * v for n, v in want.items())
