@@ -114,19 +114,35 @@ def pagerank(edges: DataFrame, src: str, dst: str, rounds: int = 20, damping: fl
     return ranks
 
 
-def shortest(edges: DataFrame, src: str, dst: str, weight: str, start, most_rounds: int = 100) -> DataFrame:
-    """(node, cost) from a start by repeated relaxation of improved nodes only; weights are not negative."""
+def shortest(edges: DataFrame, src: str, dst: str, weight: str, start, most_rounds: int | None = None) -> DataFrame:
+    """(node, cost) from a start by repeated relaxation of improved nodes only, until none improves; weights are not negative.
+
+    With most_rounds, a graph that needs more rounds is an error.
+    """
     e = edges.groupBy(F.col(src).alias("s"), F.col(dst).alias("t")).agg(F.min(weight).alias("w"))
+    if not e.where("w < 0").isEmpty():
+        raise ValueError("negative weights")
     kind = dict(edges.dtypes)[src]
     best = edges.sparkSession.createDataFrame([(start, 0.0)], f"node {kind}, cost double")
-    front = best
-    for _ in range(most_rounds):
+    front, rounds = best, 0
+    while True:
         step = front.join(e, front["node"] == e["s"]).groupBy(F.col("t").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
+        step = step.where(F.col("new").isNotNull())
         front = written(step.join(best, "node", "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node", F.col("new").alias("cost")), "front")
         if front.isEmpty():
-            break
-        best = written(best.join(front, "node", "left_anti").unionByName(front), "best")
-    return best
+            return best
+        if rounds == most_rounds:
+            raise RuntimeError(f"nodes still improve after {most_rounds} rounds")
+        best, rounds = written(best.join(front, "node", "left_anti").unionByName(front), "best"), rounds + 1
+
+
+def minutes_at(segments: DataFrame, profiles: DataFrame, hour: int) -> DataFrame:
+    """Segments (segment, s, t, km, limit) with the minutes they take at an hour: by the profile (segment, hour, speed) of that hour, the fastest of several, else by the limit."""
+    at = profiles.where(F.col("hour") == hour).groupBy("segment").agg(F.max("speed").alias("speed"))
+    x = segments.join(at, "segment", "left").withColumn("speed", F.coalesce("speed", "limit"))
+    if not x.where("speed <= 0").isEmpty():
+        raise ValueError("speeds must be positive")
+    return x.withColumn("minutes", F.col("km") / F.col("speed") * 60)
 
 
 def neighbour_mean(values: DataFrame, edges: DataFrame, own: float = 0.0, default: float = 0.0) -> DataFrame:

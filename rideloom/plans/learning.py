@@ -469,6 +469,24 @@ def _(spark, d):
     return X.shortest(_roads(spark, d), "s", "t", "w", 0).where("cost <= 4")
 
 
+def _first(spark, d):
+    return t(spark, d, "lineitem").agg(F.min("l_suppkey")).first()[0]
+
+
+@q("gr03_whole")
+def _(spark, d):
+    """Every node that the first supplier reaches, whatever its cost, on real ids."""
+    return X.shortest(t(spark, d, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", _first(spark, d))
+
+
+@q("gr03_hour")
+def _(spark, d):
+    """By minutes at 8 o'clock: a row is a segment of l_quantity km, two thirds of them with speeds by hour."""
+    x = t(spark, d, "lineitem").select(F.struct("l_suppkey", "l_partkey").alias("segment"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), F.col("l_quantity").alias("km"), F.lit(50.0).alias("limit"))
+    p = x.where("s % 3 <> 0").select("segment", F.explode(F.array(F.lit(8), F.lit(12))).alias("hour"), "s").select("segment", "hour", (20.0 + F.col("hour") + F.col("s") % 40).alias("speed"))
+    return X.shortest(X.minutes_at(x, p, 8), "s", "t", "minutes", _first(spark, d))
+
+
 _GV = "WITH e AS (SELECT l_suppkey AS s, l_partkey % 100 AS t, sum(l_quantity) AS w FROM lineitem WHERE l_suppkey <> l_partkey % 100 GROUP BY ALL), v AS (SELECT s_suppkey AS node, s_acctbal AS value FROM supplier)"
 
 

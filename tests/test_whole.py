@@ -1,9 +1,13 @@
 """Queries over all rows and real ids, against brute force on the smallest tables."""
 
-from collections import Counter
+import heapq
+from collections import Counter, defaultdict
+
+import pytest
 
 import __spark_entry__ as entry
 from rideloom.common import table
+from rideloom.operators import features
 
 QUERIES = entry.queries()
 
@@ -45,3 +49,34 @@ def test_pagerank_of_the_whole_graph(spark, small):
         want = {n: 0.15 / len(nodes) + 0.85 * v for n, v in got.items()}
     ranks = {r.node: r.rank for r in QUERIES["gr02"](spark, small).collect()}
     assert ranks.keys() == nodes and all(abs(ranks[n] - v) <= 1e-9 * v for n, v in want.items())
+
+
+def dijkstra(edges, start):
+    after, cost, heap = defaultdict(list), {}, [(0.0, start)]
+    for s, t, w in edges:
+        after[s].append((t, w))
+    while heap:
+        c, n = heapq.heappop(heap)
+        if n not in cost:
+            cost[n] = c
+            for t, w in after[n]:
+                heapq.heappush(heap, (c + w, t))
+    return cost
+
+
+def test_shortest_paths_of_the_whole_graph(spark, small):
+    rows = table(spark, small, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").collect()
+    start = min(r[0] for r in rows)
+    for name, weight in (("gr03_whole", lambda s, q: q), ("gr03_hour", lambda s, q: q / (28.0 + s % 40 if s % 3 else 50.0) * 60)):
+        want = dijkstra([(s, t, weight(s, float(q))) for s, t, q in rows], start)
+        got = {r.node: r.cost for r in QUERIES[name](spark, small).collect()}
+        assert got == pytest.approx(want) and max(want.values()) > 4
+
+
+def test_shortest_paths_do_not_end_early(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], "s long, t long, w double")
+    assert {r.node: r.cost for r in features.shortest(chain, "s", "t", "w", 0, 5).collect()} == {i: float(i) for i in range(6)}
+    with pytest.raises(RuntimeError):
+        features.shortest(chain, "s", "t", "w", 0, 3)
+    with pytest.raises(ValueError):
+        features.shortest(chain.selectExpr("s", "t", "-w AS w"), "s", "t", "w", 0)
