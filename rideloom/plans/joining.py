@@ -137,8 +137,10 @@ def _(spark, d):
 
 
 def _costs(spark, d):
-    n = J.nearest(_req(spark, d), _cand(spark, d), request_id="zone_id", candidate_id="driver_id", k=12)
+    """As many nearest drivers a request as the largest batch has requests: with fewer, others can take all of them; more are never needed."""
     z = t(spark, d, "dim_zones").select("zone_id", F.col("borough").alias("batch"))
+    k = z.groupBy("batch").count().agg(F.max("count")).first()[0] or 1
+    n = J.nearest(_req(spark, d), _cand(spark, d), request_id="zone_id", candidate_id="driver_id", k=k)
     return n.join(F.broadcast(z), "zone_id").select("batch", F.col("zone_id").alias("request"), F.col("driver_id").alias("candidate"), F.col("km").alias("cost"))  # 40 fixed rows
 
 

@@ -4,10 +4,12 @@ import heapq
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rideloom.common import table
-from rideloom.operators import features
+from rideloom.operators import features, joins
+from rideloom.plans import joining
 
 QUERIES = entry.queries()
 
@@ -80,3 +82,16 @@ def test_shortest_paths_do_not_end_early(spark):
         features.shortest(chain, "s", "t", "w", 0, 3)
     with pytest.raises(ValueError):
         features.shortest(chain.selectExpr("s", "t", "-w AS w"), "s", "t", "w", 0)
+
+
+def test_assignments_over_all_drivers(spark, small):
+    r, c = joining._req(spark, small).withColumnRenamed("zone_id", "request"), joining._cand(spark, small)
+    km = joins.haversine(F.col("r.lat"), F.col("r.lon"), F.col("c.lat"), F.col("c.lon"), 6371.0)
+    z = table(spark, small, "dim_zones").select(F.col("zone_id").alias("request"), F.col("borough").alias("batch"))
+    every = r.alias("r").crossJoin(c.alias("c")).select("request", F.col("driver_id").alias("candidate"), km.alias("cost")).join(z, "request").toPandas()
+    for name, solve in (("join13", joins.greedy_assignment), ("join14", joins.optimal_assignment)):
+        got = {b: g for b, g in QUERIES[name](spark, small).toPandas().groupby("batch")}
+        for batch, rows in every.groupby("batch"):
+            want = solve(rows)
+            assert len(got[batch]) == len(want) == min(rows.request.nunique(), rows.candidate.nunique())
+            assert got[batch].cost.sum() == pytest.approx(want.cost.sum())
