@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,23 +95,26 @@ def run_tasks(tasks: Mapping[str, tuple[Sequence[str], Callable[[], object]]]) -
     return state
 
 
-def closure(edges: DataFrame, src: str, dst: str, starts: DataFrame, most_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, src: str, dst: str, starts: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(start, node, depth): nodes reached from each start, at their least depth; a cycle may reach the start itself.
 
-    Frontier by frontier: new nodes only, each step a join and an anti join, its result written to the shared folder.
+    Frontier by frontier until none is new: each step a join and an anti join, its result written to the shared folder.
+    With most_depth, nodes beyond it are an error.
     """
     from rideloom.common import written
 
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("node")).distinct()
     front = starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("at", F.col("start"))
     seen = None
-    for depth in range(1, most_depth + 1):
+    for depth in itertools.count(1):
         step = front.join(e, F.col("at") == F.col("_s")).select("start", "node").distinct()
         if seen is not None:
             step = step.join(seen, ["start", "node"], "left_anti")
         step = written(step.withColumn("depth", F.lit(depth)), "closure")
         if step.isEmpty():
             break
+        if most_depth is not None and depth > most_depth:
+            raise RuntimeError(f"nodes beyond depth {most_depth}")
         seen = step if seen is None else seen.unionByName(step)
         front = step.select("start", F.col("node").alias("at"))
     return seen if seen is not None else front.select("start", F.col("at").alias("node"), F.lit(0).alias("depth")).limit(0)

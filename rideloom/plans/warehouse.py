@@ -479,4 +479,34 @@ def _(spark, d):
     return _down(spark, d).groupBy("start").agg(F.max("depth").alias("depth"), r4(1 + F.sum((1 + F.col("node") % 3) / F.col("depth"))).alias("impact"))
 
 
+_ALL = f"WITH RECURSIVE e AS ({_EDGE}), c AS (SELECT src AS start, dst AS node, 1 AS depth FROM e UNION ALL SELECT c.start, e.dst, c.depth + 1 FROM c JOIN e ON c.node = e.src)"
+
+
+def _down_all(spark, d):
+    e = _edges(spark, d)
+    return P.closure(e, "src", "dst", e.select("src"))
+
+
+@q("gov04_whole", f"{_ALL} SELECT start, node, min(depth) AS depth FROM c GROUP BY ALL")
+def _(spark, d):
+    return _down_all(spark, d)
+
+
+@q("gov04_up_whole", f"{_ALL} SELECT node AS start, start AS node, min(depth) AS depth FROM c GROUP BY ALL")
+def _(spark, d):
+    """What every node comes from."""
+    e = _edges(spark, d)
+    return P.closure(e, "dst", "src", e.select("dst"))
+
+
+@q("gov05_whole", f"{_ALL} SELECT DISTINCT start AS source, node AS sink FROM c WHERE node BETWEEN 1 AND 3")
+def _(spark, d):
+    return _down_all(spark, d).where("node BETWEEN 1 AND 3").select(F.col("start").alias("source"), F.col("node").alias("sink"))
+
+
+@q("gov08_whole", f"{_ALL} SELECT start, max(depth) AS depth, round(1 + sum((1 + node % 3) / CAST(depth AS DOUBLE)), 4) AS impact FROM (SELECT start, node, min(depth) AS depth FROM c GROUP BY ALL) GROUP BY 1")
+def _(spark, d):
+    return _down_all(spark, d).groupBy("start").agg(F.max("depth").alias("depth"), r4(1 + F.sum((1 + F.col("node") % 3) / F.col("depth"))).alias("impact"))
+
+
 QUERIES, SQL = book.QUERIES, book.SQL

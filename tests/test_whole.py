@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rideloom.common import table
-from rideloom.operators import features, joins
+from rideloom.operators import features, joins, pipeline
 from rideloom.plans import joining
 
 QUERIES = entry.queries()
@@ -95,3 +95,13 @@ def test_assignments_over_all_drivers(spark, small):
             want = solve(rows)
             assert len(got[batch]) == len(want) == min(rows.request.nunique(), rows.candidate.nunique())
             assert got[batch].cost.sum() == pytest.approx(want.cost.sum())
+
+
+def test_closures_do_not_end_early(spark, small):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "s long, t long")
+    start = spark.createDataFrame([(0,)], "s long")
+    assert sorted((r.node, r.depth) for r in pipeline.closure(chain, "s", "t", start, 5).collect()) == [(i, i) for i in range(1, 6)]
+    with pytest.raises(RuntimeError):
+        pipeline.closure(chain, "s", "t", start, 3)
+    parts = {r[0] for r in table(spark, small, "part").select("p_partkey").where("p_partkey >= 1").collect()}
+    assert {r.start for r in QUERIES["gov04_whole"](spark, small).collect()} == parts
