@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ EARTH_MILES = 3958.8
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
     """Great-circle distance in the unit of the radius; null if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))  # least() would turn null into 1
+    # Rounding may bring a over 1 and asin to NaN: a quarter turn then. Each input is evaluated as few times as can be.
+    return F.lit(2 * radius) * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2))
 
 
 def is_place(lat: Column, lon: Column) -> Column:

@@ -30,11 +30,16 @@ GROSS_M = 20_000.0
 SLICE_HOURS = 24
 
 
-def _median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
+def _middle(s: Column) -> Column:
+    """The median of a sorted array, null of an empty one."""
+    n = F.size(s)
     return F.when(n > 0, (F.try_element_at(s, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(s, F.floor(n / 2).cast("int") + 1)) / 2)
 
 
+def _median(a: Column) -> Column:
+    return _middle(F.sort_array(a))  # array_sort would compare by an interpreted function
+
+
 def sessions(pings: DataFrame, silence_s: float = LONGEST_SILENCE_S, hot_part: float | None = None, hot_least: int | None = None) -> DataFrame:
     """Distinct pings with their session number per device; a session ends at a silence longer than silence_s.
 
@@ -62,108 +67,128 @@ def sessions(pings: DataFrame, silence_s: float = LONGEST_SILENCE_S, hot_part: f
     return p.withColumn("session", within + F.coalesce("base", F.lit(0).cast("long"))).drop("slice", "before", "base")
 
 
+#: Moving pings farther than this many radii from the places before and after them can join neither and are left out.
+REACH_RADII = 3
+
+
 def stops(pings: DataFrame, radius_m: float = RADIUS_M, least_s: int = LEAST_STOP_S, silence_s: float = LONGEST_SILENCE_S, most_strays: int = MOST_STRAYS, **options) -> DataFrame:
-    """(driver_id, session, stop_no, start_us, end_us, latitude, longitude, pings) of each stop."""
-    group = ["driver_id", "session"]
-    s = sessions(pings, silence_s, **options).repartition(tasks_for(pings), *group)
-    part = Window.partitionBy(*group)
-    order = part.orderBy("us", "latitude", "longitude")
+    """(driver_id, session, stop_no, start_us, end_us, latitude, longitude, pings) of each stop.
+
+    Rows are numbered once; what is far from every place then drops out, and strays are counted by the numbers that
+    are missing. Windows are written so that consecutive ones need the same sort.
+    """
+    return _stops(sessions(pings, silence_s, **options).repartition(tasks_for(pings), *GROUP), radius_m, least_s, most_strays)
+
+
+GROUP = ["driver_id", "session"]
+_BEFORE, _UPTO, _ALL = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0), (Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _part():
+    return Window.partitionBy(*GROUP)
+
+
+def _stops(s: DataFrame, radius_m: float, least_s: int, most_strays: int) -> DataFrame:
+    order = _part().orderBy("us", "latitude", "longitude")
     good = is_place(F.col("latitude"), F.col("longitude"))
-    s = s.withColumn("n", F.row_number().over(order)).withColumn("span", F.max("us").over(part) - F.min("us").over(part))
-    s = s.where(F.col("span") >= least_s * 1_000_000).drop("span")  # too short for any stop
-    s = s.withColumn("lat", F.when(good, F.col("latitude"))).withColumn("lon", F.when(good, F.col("longitude"))).drop("latitude", "longitude")
-    by_time = part.orderBy("us")
+    place = F.when(good, F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    by_time = _part().orderBy("us")
     back, ahead = by_time.rangeBetween(-LOOK_S * 1_000_000, 0), by_time.rangeBetween(0, LOOK_S * 1_000_000)
-    s = s.withColumn("lat_b", F.collect_list("lat").over(back)).withColumn("lon_b", F.collect_list("lon").over(back)).withColumn("lat_a", F.collect_list("lat").over(ahead)).withColumn("lon_a", F.collect_list("lon").over(ahead))
-    s = s.select(*group, "n", "us", "lat", "lon", haversine(_median(F.col("lat_b")), _median(F.col("lon_b")), _median(F.col("lat_a")), _median(F.col("lon_a"))).alias("moved"))
-    order = part.orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({"n": F.row_number().over(order), "b": F.collect_list(place).over(back), "a": F.collect_list(place).over(ahead)})
+    # Each step its own projection, so that every array is sorted once.
+    base = [*GROUP, "n", "us", "latitude", "longitude"]
+    s = s.select(*base, *[F.sort_array(F.col(f"{w}.{c}")).alias(f"{c}_{w}") for w in "ba" for c in ("lat", "lon")])
+    s = s.select(*base, *[_middle(F.col(f"{c}_{w}")).alias(f"{c}_{w}") for w in "ba" for c in ("lat", "lon")])
+    s = s.select(*base, haversine(F.col("lat_b"), F.col("lon_b"), F.col("lat_a"), F.col("lon_a")).alias("moved"))
     # Hysteresis: the last clear sign decides.
     sign = F.when(F.col("moved") <= ENTER_M, 1).when(F.col("moved") >= LEAVE_M, 0)
-    s = s.withColumn("still", F.coalesce(F.last(sign, ignorenulls=True).over(upto), F.lit(0)))
-    s = s.withColumn("edge", (F.col("still") != F.coalesce(F.lag("still").over(order), F.lit(-1))).cast("int"))
-    s = s.withColumn("island", F.sum("edge").over(upto)).drop("edge", "moved")
-    island = Window.partitionBy(*group, "island")
-    s = s.withColumns({c: F.when(F.col("still") == 1, F.percentile_approx(x, F.lit(0.5), F.lit(1000)).over(island)) for c, x in (("clat", "lat"), ("clon", "lon"))})
+    s = s.withColumns({"still": F.last(sign, ignorenulls=True).over(order.rowsBetween(*_UPTO)), "was": F.last(sign, ignorenulls=True).over(order.rowsBetween(*_BEFORE))})
+    edge = (F.coalesce("still", F.lit(0)) != F.coalesce("was", F.lit(0))).cast("int")
+    s = s.withColumn("seg", F.sum(edge).over(order.rowsBetween(*_UPTO)))
+    s = s.select(*GROUP, "n", "us", F.when(good, F.col("latitude")).alias("lat"), F.when(good, F.col("longitude")).alias("lon"), "seg", (F.col("still") == 1).alias("own"))
+    s = _placed(s, F.coalesce("own", F.lit(False)))
     # Strays that agree among themselves look like a stretch of their own; what no more pings than strays are at is none.
     there = F.coalesce(haversine(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")) <= radius_m, F.lit(False)).cast("int")
-    s = s.withColumn("still", F.when(F.sum(there).over(island) > most_strays, F.col("still")).otherwise(0))
-    s = s.withColumns({c: F.when(F.col("still") == 1, F.col(c)) for c in ("clat", "clon")})
+    s = s.withColumn("there", F.sum(there).over(_island()))
+    own = F.coalesce(F.col("own") & (F.col("there") > most_strays), F.lit(False))
+    s = s.select(*GROUP, "n", "us", "lat", "lon", "seg", F.when(own, F.struct(F.col("seg").alias("no"), "clat", "clon")).alias("own"))
+    s = s.withColumn("prev", F.last("own", ignorenulls=True).over(_ahead().rowsBetween(*_BEFORE)))
+    s = s.withColumn("next", F.last("own", ignorenulls=True).over(_back().rowsBetween(*_BEFORE)))
+    s = s.where(F.col("own").isNotNull() | _near("prev", REACH_RADII * radius_m) | _near("next", REACH_RADII * radius_m)).drop("prev", "next")
     # Stretches at one place with few strays between them are one: compare with the place before.
-    s = s.withColumn("no", F.when(F.col("still") == 1, F.col("island")))
     for _ in range(2):
-        s = _merged(s, group, radius_m, most_strays)
-    s = _grown(s, group, radius_m, most_strays)
-    # The place again from the pings now known to be at it, then the final run.
-    at = Window.partitionBy(*group, "no")
-    s = s.withColumn("clat", F.when(F.col("no").isNotNull(), F.percentile_approx(F.when(F.col("is_in"), F.col("lat")), F.lit(0.5), F.lit(1000)).over(at)))
-    s = s.withColumn("clon", F.when(F.col("no").isNotNull(), F.percentile_approx(F.when(F.col("is_in"), F.col("lon")), F.lit(0.5), F.lit(1000)).over(at)))
-    s = s.withColumn("no", F.when(F.col("clat").isNotNull(), F.col("no"))).drop("is_in")
-    s = _grown(s, group, radius_m, most_strays)
-    run = s.where(F.col("no").isNotNull() & F.col("is_in"))
-    found = run.groupBy(*group, F.col("no").alias("stop_no"), "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.first("clat").alias("latitude"), F.first("clon").alias("longitude"), F.count(F.lit(1)).alias("pings"))
-    found = found.where(F.col("end_us") - F.col("start_us") >= least_s * 1_000_000)
-    best = F.row_number().over(Window.partitionBy(*group, "stop_no").orderBy(F.desc(F.col("end_us") - F.col("start_us")), "start_us"))
-    return found.withColumn("rank", best).where(F.col("rank") == 1).drop("rank", "run")
-
-
-def _merged(s: DataFrame, group: list[str], radius_m: float, most_strays: int) -> DataFrame:
-    """Numbers of stretches, equal where a stretch is at the place of the one before with no more than the strays between."""
-    order = Window.partitionBy(*group).orderBy("n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.struct(F.col("clat").alias("clat"), F.col("clon").alias("clon"), "no")
-    s = s.withColumn("last_place", F.last(F.when(F.col("no").isNotNull(), place), ignorenulls=True).over(before))
-    here = haversine(F.col("lat"), F.col("lon"), F.col("last_place.clat"), F.col("last_place.clon")) <= radius_m
-    out = F.col("no").isNull() & ~F.coalesce(here, F.lit(False))
-    s = s.withColumn("out", out.cast("int")).withColumn("outs", F.sum("out").over(order.rowsBetween(-most_strays, 0)))
-    s = s.withColumn("broken", F.sum((F.col("outs") > most_strays).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("broken_then", F.last(F.when(F.col("no").isNotNull(), F.col("broken")), ignorenulls=True).over(before))
-    starts = F.col("no").isNotNull() & (F.col("last_place.no").isNull() | (F.col("last_place.no") != F.col("no")))
-    near = haversine(F.col("clat"), F.col("clon"), F.col("last_place.clat"), F.col("last_place.clon")) <= radius_m / 2
+        s = _merged(s, radius_m, most_strays)
+    s = _grown(s, radius_m, most_strays)
+    # The place again from the pings now known to be at it, then the final runs.
+    s = _placed(s.withColumn("seg", F.col("to.no")).drop("to"), F.col("is_in") & F.col("seg").isNotNull())
+    s = s.select(*GROUP, "n", "us", "lat", "lon", "seg", F.when(F.col("seg").isNotNull() & F.col("clat").isNotNull(), F.struct(F.col("seg").alias("no"), "clat", "clon")).alias("own"))
+    s = _grown(s, radius_m, most_strays, monotone=False)
+    s = s.where("is_in").select(*GROUP, "n", "us", "to")
+    # Runs within one place: more than the allowed strays in a row, the place's own included, break it.
+    mine = Window.partitionBy(*GROUP, "to.no").orderBy("n")
+    s = s.withColumn("cut", F.coalesce(F.col("n") - F.lag("n").over(mine) - 1 > most_strays, F.lit(False)).cast("int"))
+    s = s.withColumn("run", F.sum("cut").over(mine.rowsBetween(*_UPTO)))
+    found = s.groupBy(*GROUP, F.col("to.no").alias("stop_no"), "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.first("to.clat").alias("latitude"), F.first("to.clon").alias("longitude"), F.count(F.lit(1)).alias("pings"))
+    return found.where(F.col("end_us") - F.col("start_us") >= least_s * 1_000_000).drop("run")
+
+
+# Segments are numbered in the order of rows, so all of these but the last need the same sort.
+def _island():
+    return Window.partitionBy(*GROUP, "seg").orderBy("n").rowsBetween(*_ALL)
+
+
+def _ahead():
+    return _part().orderBy("seg", "n")
+
+
+def _back():
+    return _part().orderBy(F.desc("n"))
+
+
+def _near(place: str, radius_m: float) -> Column:
+    return F.coalesce(haversine(F.col("lat"), F.col("lon"), F.col(f"{place}.clat"), F.col(f"{place}.clon")) <= radius_m, F.lit(False))
+
+
+def _placed(s: DataFrame, members: Column) -> DataFrame:
+    """clat and clon: the medians of a segment's members, null for segments without."""
+    s = s.withColumn("at", members)
+    return s.withColumns({c: F.percentile_approx(F.when(F.col("at"), F.col(x)), F.lit(0.5), F.lit(1000)).over(_island()) for c, x in (("clat", "lat"), ("clon", "lon"))}).drop("at")
+
+
+def _merged(s: DataFrame, radius_m: float, most_strays: int) -> DataFrame:
+    """Segments (a stretch and what follows it until the next) anew: stretches at the place of the one before, with no more than the strays between, become one."""
+    order = _ahead()
+    s = s.withColumn("last_place", F.last("own", ignorenulls=True).over(order.rowsBetween(*_BEFORE)))
+    s = s.withColumn("at", F.when(F.col("own").isNotNull() | _near("last_place", radius_m), F.col("n")))
+    s = s.withColumn("last_at", F.last("at", ignorenulls=True).over(order.rowsBetween(*_BEFORE)))
+    s = s.withColumn("broken", F.sum(F.coalesce(F.col("at") - F.col("last_at") - 1 > most_strays, F.lit(False)).cast("int")).over(order.rowsBetween(*_UPTO)))
+    s = s.withColumn("broken_then", F.last(F.when(F.col("own").isNotNull(), F.col("broken")), ignorenulls=True).over(order.rowsBetween(*_BEFORE)))
+    starts = F.col("own").isNotNull() & (F.col("last_place").isNull() | (F.col("last_place.no") != F.col("own.no")))
+    near = haversine(F.col("own.clat"), F.col("own.clon"), F.col("last_place.clat"), F.col("last_place.clon")) <= radius_m / 2
     fresh = starts & ~F.coalesce(near & (F.col("broken") == F.col("broken_then")), F.lit(False))
-    s = s.withColumn("no2", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("no", F.when(F.col("no").isNotNull(), F.col("no2"))).drop("no2", "last_place", "out", "outs", "broken", "broken_then")
-    at = Window.partitionBy(*group, "no")
-    for c, x in (("clat", "lat"), ("clon", "lon")):
-        s = s.withColumn(c, F.when(F.col("no").isNotNull(), F.percentile_approx(x, F.lit(0.5), F.lit(1000)).over(at)))
-    return s
+    s = s.withColumn("seg2", F.sum(fresh.cast("int")).over(order.rowsBetween(*_UPTO)))
+    s = _placed(s.select(*GROUP, "n", "us", "lat", "lon", F.col("seg2").alias("seg"), F.col("own").isNotNull().alias("own")), F.col("own"))
+    return s.select(*GROUP, "n", "us", "lat", "lon", "seg", F.when(F.col("own"), F.struct(F.col("seg").alias("no"), "clat", "clon")).alias("own"))
 
 
-def _grown(s: DataFrame, group: list[str], radius_m: float, most_strays: int) -> DataFrame:
+def _grown(s: DataFrame, radius_m: float, most_strays: int, monotone: bool = True) -> DataFrame:
     """Pings between stretches join the one before or after as long as no more than the strays lie in between.
 
-    Sets no (null where a ping belongs to no place), is_in (within the radius) and run (counts breaks).
+    Sets to (the place a ping belongs to, null for none) and is_in (within its radius).
     """
-    order = Window.partitionBy(*group).orderBy("n")
-    back = Window.partitionBy(*group).orderBy(F.desc("n"))
-    upto = Window.unboundedPreceding, -1
-    place = F.when(F.col("no").isNotNull(), F.struct("no", "clat", "clon"))
-    s = s.withColumn("own", place)
-    s = s.withColumn("prev", F.last("own", ignorenulls=True).over(order.rowsBetween(*upto)))
-    s = s.withColumn("next", F.last("own", ignorenulls=True).over(back.rowsBetween(*upto)))
-
-    def near(p: str) -> Column:
-        return F.coalesce(haversine(F.col("lat"), F.col("lon"), F.col(f"{p}.clat"), F.col(f"{p}.clon")) <= radius_m, F.lit(False))
-
-    s = s.withColumn("at_own", F.when(F.col("own").isNotNull(), near("own")))
-    # Outs in a row seen from a place: own pings by their own place, others by the place before (after).
-    for name, w, p in (("f", order, "prev"), ("b", back, "next")):
-        gap = F.coalesce(F.col("at_own"), near(p))
-        s = s.withColumn(f"{name}_in", gap)
-        s = s.withColumn(f"{name}_outs", F.sum((~F.col(f"{name}_in")).cast("int")).over(w.rowsBetween(-most_strays, 0)))
-        s = s.withColumn(f"{name}_breaks", F.sum((F.col(f"{name}_outs") > most_strays).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        s = s.withColumn(f"{name}_then", F.last(F.when(F.col("own").isNotNull() & F.col("at_own"), F.col(f"{name}_breaks")), ignorenulls=True).over(w.rowsBetween(*upto)))
-    joins_prev = F.col("own").isNull() & F.col("f_in") & (F.col("f_breaks") == F.col("f_then"))
-    joins_next = F.col("own").isNull() & F.col("b_in") & (F.col("b_breaks") == F.col("b_then"))
-    no = F.when(F.col("own").isNotNull(), F.col("own")).when(joins_prev, F.col("prev")).when(joins_next, F.col("next"))
-    s = s.withColumn("to", no)
-    s = s.withColumn("is_in", F.coalesce(F.col("at_own"), F.col("to").isNotNull()))
-    s = s.select(*group, "n", "us", "lat", "lon", F.col("to.no").alias("no"), F.col("to.clat").alias("clat"), F.col("to.clon").alias("clon"), "is_in")
-    # Runs within one place: more than the allowed outs in a row, own strays included, break it.
-    mine = Window.partitionBy(*group, "no").orderBy("n")
-    s = s.withColumn("last_in", F.last(F.when(F.col("is_in"), F.col("n")), ignorenulls=True).over(mine.rowsBetween(*upto)))
-    cut = F.col("is_in") & F.coalesce(F.col("n") - F.col("last_in") - 1 > most_strays, F.lit(False))
-    return s.withColumn("run", F.sum(cut.cast("int")).over(mine.rowsBetween(Window.unboundedPreceding, 0))).drop("last_in")
+    s = s.withColumn("at_own", F.when(F.col("own").isNotNull(), _near("own", radius_m)))
+    # Seen from a place: own pings by their own place, others by the place before (after); breaks count strays in a row.
+    for name, w in (("prev", _ahead() if monotone else _part().orderBy("n")), ("next", _back())):
+        before, upto = w.rowsBetween(*_BEFORE), w.rowsBetween(*_UPTO)
+        s = s.withColumn(name, F.last("own", ignorenulls=True).over(before))
+        s = s.withColumn("in", F.when(F.coalesce(F.col("at_own"), _near(name, radius_m)), F.col("n")))
+        s = s.withColumn("last_in", F.last("in", ignorenulls=True).over(before))
+        s = s.withColumn("breaks", F.sum(F.coalesce(F.abs(F.col("in") - F.col("last_in")) - 1 > most_strays, F.lit(False)).cast("int")).over(upto))
+        s = s.withColumn("then", F.last(F.when(F.col("at_own"), F.col("breaks")), ignorenulls=True).over(before))
+        joins = F.col("own").isNull() & F.col("in").isNotNull() & (F.col("breaks") == F.col("then"))
+        s = s.withColumn(name, F.when(joins, F.col(name))).drop("in", "last_in", "breaks", "then")
+    s = s.withColumn("to", F.coalesce("own", "prev", "next"))
+    return s.select(*GROUP, "n", "us", "lat", "lon", "to", F.coalesce("at_own", F.col("to").isNotNull()).alias("is_in"))
 
 
 def stops_and_trips(pings: DataFrame, **options) -> DataFrame:
