@@ -84,7 +84,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_history(spark: SparkSession, d: str) -> DataFrame:
     h = history.driver_history(table(spark, d, "driver_snapshots"))
-    return h.select("driver_id", "license_number", "rating", epoch(F.col("valid_from")).alias("valid_from"), epoch(F.col("valid_to")).alias("valid_to"), "is_current")
+    return h.select("driver_id", "full_name", "license_number", "rating", "total_trips", epoch(F.col("valid_from")).alias("valid_from"), epoch(F.col("valid_to")).alias("valid_to"), "is_current")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_trips, p3_zone_day_percentiles, p3_zone_percentiles, p4_found, p4_driver_hours, p5_found, p5_periods, p6_found, p6_zones, p7_found, p7_history)}
@@ -108,14 +108,16 @@ _COVER = """SELECT user_id, CAST(floor(epoch(started_at)) AS BIGINT) AS s, CAST(
     FROM subscriptions WHERE user_id IS NOT NULL AND started_at IS NOT NULL"""
 _ISLANDS = f"""WITH c AS (SELECT DISTINCT * FROM ({_COVER}) WHERE e > s),
     m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)"""
-_SNAP = """WITH x AS (SELECT driver_id, snapshot_date, full_name, license_number, rating,
-        row_number() OVER (PARTITION BY driver_id, snapshot_date ORDER BY loaded_at DESC, full_name DESC, license_number DESC, rating DESC) AS rn FROM driver_snapshots),
-    k AS (SELECT driver_id, snapshot_date, lower(trim(regexp_replace(full_name, '\\s+', ' ', 'g'))) AS nm, license_number AS li, round(rating, 2) AS ra FROM x WHERE rn = 1),
-    f AS (SELECT driver_id, snapshot_date,
-        last_value(nm IGNORE NULLS) OVER w AS nm, last_value(li IGNORE NULLS) OVER w AS li, last_value(ra IGNORE NULLS) OVER w AS ra FROM k
+_SNAP = """WITH x AS (SELECT driver_id, snapshot_date, full_name, license_number, rating, total_trips,
+        row_number() OVER (PARTITION BY driver_id, snapshot_date ORDER BY loaded_at DESC, full_name DESC, license_number DESC, rating DESC, total_trips DESC) AS rn FROM driver_snapshots),
+    y AS (SELECT driver_id, snapshot_date, trim(regexp_replace(full_name, '\\s+', ' ', 'g')) AS sp, license_number AS li, round(rating, 2) AS ra, total_trips FROM x WHERE rn = 1),
+    f AS (SELECT *, lower(sp) AS own,
+        last_value(lower(sp) IGNORE NULLS) OVER w AS nm, last_value(li IGNORE NULLS) OVER w AS lic, last_value(ra IGNORE NULLS) OVER w AS rat FROM y
         WINDOW w AS (PARTITION BY driver_id ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    g AS (SELECT *, row_number() OVER v AS no, lag(nm) OVER v AS pn, lag(li) OVER v AS pl, lag(ra) OVER v AS pr FROM f WINDOW v AS (PARTITION BY driver_id ORDER BY snapshot_date)),
-    h AS (SELECT * FROM g WHERE no = 1 OR nm IS DISTINCT FROM pn OR li IS DISTINCT FROM pl OR ra IS DISTINCT FROM pr)"""
+    g AS (SELECT *, row_number() OVER v AS no, lag(nm) OVER v AS pn, lag(lic) OVER v AS pl, lag(rat) OVER v AS pr FROM f WINDOW v AS (PARTITION BY driver_id ORDER BY snapshot_date)),
+    s AS (SELECT *, last_value(CASE WHEN own IS NOT NULL AND own IS DISTINCT FROM pn THEN sp END IGNORE NULLS) OVER
+        (PARTITION BY driver_id ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spelled FROM g),
+    h AS (SELECT * FROM s WHERE no = 1 OR nm IS DISTINCT FROM pn OR lic IS DISTINCT FROM pl OR rat IS DISTINCT FROM pr)"""
 
 SQL = {
     "p3_zone_day_percentiles": _percentiles("zone_id, day", True),
@@ -139,5 +141,5 @@ SQL = {
         GROUP BY p.event_id, p.latitude, p.longitude, p.zone_id""",
     "p7_found": f"{_SNAP} SELECT driver_id, strftime(snapshot_date, '%Y-%m-%d') AS valid_from FROM h",
     "p7_history": f"""{_SNAP}, e AS (SELECT *, lead(snapshot_date) OVER (PARTITION BY driver_id ORDER BY snapshot_date) AS nxt FROM h)
-        SELECT driver_id, li AS license_number, ra AS rating, CAST(epoch(snapshot_date) AS BIGINT) AS valid_from, CAST(epoch(nxt) AS BIGINT) AS valid_to, CAST(nxt IS NULL AS INTEGER) AS is_current FROM e""",
+        SELECT driver_id, spelled AS full_name, lic AS license_number, rat AS rating, total_trips, CAST(epoch(snapshot_date) AS BIGINT) AS valid_from, CAST(epoch(nxt) AS BIGINT) AS valid_to, CAST(nxt IS NULL AS INTEGER) AS is_current FROM e""",
 }
