@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,5 +79,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bands of values over which the running sums of a group are spread.
+BANDS = 64
+
+
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, resolution: float | None = None) -> DataFrame:
+    """(groups..., value, n): null and NaN are no values; counts of parts can be added up. Partially aggregated before the shuffle."""
+    v = F.col(value).cast("double")
+    d = need(df, *groups, value).where(v.isNotNull() & ~F.isnan(v))
+    if resolution is not None:
+        v = F.round(v / F.lit(resolution)) * F.lit(resolution)
+    return d.select(*groups, (v + F.lit(0.0)).alias("value")).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cumulated(counts: DataFrame, groups: Sequence[str], bands: int = BANDS) -> DataFrame:
+    """(groups..., value, n, upto, total) of value_counts: upto counts the values of the group up to this one.
+
+    The range sort is by bands of values whose bounds come from one small sketch of the distinct values; the
+    running sum of a group is then spread over as many tasks as there are bands, whatever the group's size.
+    """
+    groups = list(groups)
+    bounds = counts.agg(F.percentile_approx("value", F.array(*[F.lit(i / bands) for i in range(1, bands)]), F.lit(10_000)).alias("b"))
+    s = counts.crossJoin(F.broadcast(bounds))  # one row
+    # The band is the number of bounds below the value: the same for equal values, and growing with them.
+    s = s.withColumn("band", F.size(F.filter("b", lambda x: x < F.col("value")))).drop("b")
+    totals = s.groupBy(*groups, "band").agg(F.sum("n").alias("band_n"))
+    by_group = Window.partitionBy(*groups)
+    totals = totals.withColumn("offset", F.sum("band_n").over(by_group.orderBy("band")) - F.col("band_n")).withColumn("total", F.sum("band_n").over(by_group)).drop("band_n")
+    on = F.col("s.band") == F.col("t.band")
+    for g in groups:
+        on = on & F.col(f"s.{g}").eqNullSafe(F.col(f"t.{g}"))
+    s = s.alias("s").join(totals.alias("t"), on).select(*[F.col(f"s.{g}") for g in groups], "s.band", "s.value", "s.n", "t.offset", "t.total")
+    running = F.sum("n").over(Window.partitionBy(*groups, "band").orderBy("value"))
+    return s.select(*groups, "value", "n", (F.col("offset") + running).alias("upto"), "total")
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

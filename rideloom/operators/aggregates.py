@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rideloom.common import cumulated, value_counts
+
 FUNCS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
@@ -42,15 +44,26 @@ def merged_states(*parts: DataFrame) -> DataFrame:
 
 def ranked_value(df: DataFrame, group: Sequence[str], value: str, p: float) -> DataFrame:
     """The value at sorted index int(n p), from counts by value: no group is sorted as rows."""
-    from rideloom.operators.percentiles import value_counts
-
-    s = value_counts(df, group, value)
-    w = Window.partitionBy(*group)
-    s = s.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("value")))
+    s = cumulated(value_counts(df, group, value), group)
     at = F.least(F.floor(F.col("total") * p), F.col("total") - 1)
     return s.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(*group, "value")
 
 
+def interpolated(df: DataFrame, group: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """(group..., name...): exact percentiles, linear between ranks, from counts by value: no buffer holds a group's values.
+
+    Null and NaN are no values; a group without values has no row.
+    """
+    s = cumulated(value_counts(df, group, value), group)
+    aggs, picks = [], []
+    for name, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("total") - 1)
+        for part, rank in (("lo", F.floor(at) + 1), ("hi", F.ceil(at) + 1)):
+            aggs.append(F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("value"))).alias(f"{name}_{part}"))
+        picks.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at - F.floor(at))).alias(name))
+    return s.groupBy(*group).agg(*aggs, F.max("total").alias("total")).select(*group, *picks)
+
+
 def equal_width(df: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, lo, hi, n): equal-width bins, the top edge in the last, empty bins listed."""
     edges = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -62,12 +75,15 @@ def equal_width(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A line a numeric column: count, nulls, distinct, min, max, mean, median, population deviation; one pass."""
+    """A line a numeric column: rows, nulls, min, max, mean, population deviation in one pass, the median from counts by value."""
     aggs = []
     for c in columns:
         v = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std"), F.round(F.percentile(v, F.lit(0.5)), 4).alias("median")).alias(c))
-    return df.agg(*aggs).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+        aggs.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_pop(v), 4).alias("std")).alias(c))
+    lines = df.agg(*aggs).select(F.explode(F.array(*columns)).alias("x")).select("x.*")  # as many rows as columns
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    medians = interpolated(long, ["column"], "v", {"median": 0.5}).withColumn("median", F.round("median", 4))
+    return lines.join(F.broadcast(medians), "column", "left")
 
 
 def apdex(latency: Column, satisfied: float) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rideloom.operators.aggregates import interpolated
+
 
 def percent(ok: Column, of: Column | None = None) -> Column:
     """Share of rows (of those meant) that pass, in percent; 100 if none are meant."""
@@ -54,7 +56,10 @@ def zscores(df: DataFrame, value: str, threshold: float, group: Sequence[str] =
 def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, group: Sequence[str] = ()) -> DataFrame:
     """Rows outside the fences k interquartile ranges beyond the quartiles; groups under four rows have none."""
     v = F.col(value)
-    stats = df.groupBy(*group).agg(F.percentile(v, F.lit(0.25)).alias("_q1"), F.percentile(v, F.lit(0.75)).alias("_q3"), F.count(v).alias("_n"))
+    known = df.where(v.isNotNull())
+    stats = interpolated(known, group, value, {"_q1": 0.25, "_q3": 0.75})
+    count = known.groupBy(*group).agg(F.count(v).alias("_n"))
+    stats = stats.join(count, list(group)) if group else stats.crossJoin(count)  # one row each
     x = df.join(stats, list(group)) if group else df.crossJoin(F.broadcast(stats))  # one row
     iqr = F.col("_q3") - F.col("_q1")
     over = F.greatest(F.col("_q1") - k * iqr - v, v - F.col("_q3") - k * iqr)
@@ -77,7 +82,7 @@ SAMPLE, TREES = 256, 60
 
 
 def _c(n: int) -> float:
-    return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    return 0.0 if n <= 1 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int, most: int):

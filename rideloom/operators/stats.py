@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rideloom.common import BANDS
+
 
 def normal_cdf(z: Column) -> Column:
     """Abramowitz and Stegun 26.2.17, error below 1e-7. Its coefficients."""
@@ -26,8 +28,6 @@ def ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 
     Counts by value are range-summed in bands as in the percentile operator, so no task sees all values.
     """
-    from rideloom.operators.percentiles import BANDS
-
     u = a.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))
     g = u.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     bounds = g.agg(F.percentile_approx("v", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), F.lit(1000)).alias("b"))

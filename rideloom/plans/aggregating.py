@@ -96,12 +96,15 @@ def _(spark, d):
 
 @q("agg13", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def _(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(*[r4(F.percentile("value", F.lit(p))).alias(a) for a, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99))])
+    x = A.interpolated(t(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return x.select("event_type", *[r4(F.col(c)).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @q("agg14", "SELECT count(*) AS n, round(avg(value), 4) AS mean, min(value) AS lo, max(value) AS hi, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events")
 def _(spark, d):
-    return t(spark, d, "events").agg(n_rows().alias("n"), r4(F.avg("value")).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"), *[r4(F.percentile("value", F.lit(p))).alias(a) for a, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    e = t(spark, d, "events")
+    x = A.interpolated(e, [], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*[r4(F.col(c)).alias(c) for c in ("p50", "p95", "p99")])
+    return e.agg(n_rows().alias("n"), r4(F.avg("value")).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi")).crossJoin(F.broadcast(x))  # one row each
 
 
 @q("agg15", "SELECT CASE WHEN value < 10 THEN '0-10' WHEN value < 50 THEN '10-50' WHEN value < 100 THEN '50-100' ELSE '100+' END AS bucket, count(*) AS n FROM events GROUP BY 1")

@@ -9,6 +9,7 @@ from rideloom.common import table as t
 from rideloom.operators import features as X
 from rideloom.operators import stats as S
 from rideloom.operators import timeseries as TS
+from rideloom.operators.aggregates import interpolated
 from rideloom.plans.book import Book
 
 book = Book()
@@ -39,8 +40,8 @@ def _pq(spark, d):
 
 
 def _edges_of(df, bins):
-    """Quantile edges of a reference sample: a small sketch."""
-    return [float(x) for x in df.agg(F.percentile("value", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]]
+    """Quantile edges of a reference sample."""
+    return [float(x) for x in interpolated(df, [], "value", {f"q{i}": i / bins for i in range(1, bins)}).first()]
 
 
 _QUANT = "WITH e AS (SELECT list_transform([0.25, 0.5, 0.75], lambda x: x) AS z, [quantile_cont(value, 0.25), quantile_cont(value, 0.5), quantile_cont(value, 0.75)] AS ed FROM events WHERE event_type = 'view'), s AS (SELECT event_type, len(list_filter(ed, lambda v: v <= value)) AS bin FROM events, e WHERE event_type IN ('view', 'click')), x AS (SELECT bin, count(*) FILTER (WHERE event_type = 'view') / (SELECT count(*) FROM s WHERE event_type = 'view') AS p, count(*) FILTER (WHERE event_type = 'click') / (SELECT count(*) FROM s WHERE event_type = 'click') AS q FROM s GROUP BY 1)"
