@@ -1,4 +1,4 @@
-"""Queries p1 to p7 over the given tables, and their SQL where SQL can express them on whole tables."""
+"""Queries p1, p2 and p4 to p7 over the given tables, and their SQL where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rideloom.common import epoch, table
-from rideloom.operators import history, intervals, late, percentiles, proximity, spikes, trips
-
-QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-
+from rideloom.operators import history, intervals, late, proximity, spikes, trips
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     found = spikes.implausible(table(spark, d, "driver_locations"), table(spark, d, "processed_locations"))
@@ -31,22 +28,6 @@ def p2_trips(spark: SparkSession, d: str) -> DataFrame:
     return trips.stops_and_trips(table(spark, d, "driver_locations"))
 
 
-def _zone_speeds(spark: SparkSession, d: str) -> DataFrame:
-    """One row per event: its copies are equal but for when they were processed."""
-    e = table(spark, d, "processed_locations").select("event_id", "zone_id", "speed_kmh", F.to_date("recorded_at").alias("day"))
-    return e.groupBy("event_id").agg(F.min(F.struct("zone_id", "day", "speed_kmh")).alias("x")).select("x.*")
-
-
-def p3_zone_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return percentiles.percentiles(_zone_speeds(spark, d), ["zone_id", "day"], "speed_kmh", QUANTILES)
-
-
-def p3_zone_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """From the states of the days, added up."""
-    days = percentiles.value_counts(_zone_speeds(spark, d), ["zone_id", "day"], "speed_kmh")
-    return percentiles.percentiles_of(percentiles.roll_up(days, ["zone_id"]), ["zone_id"], QUANTILES)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return late.corrected_hours(table(spark, d, "processed_locations"))
 
@@ -87,20 +68,7 @@ def p7_history(spark: SparkSession, d: str) -> DataFrame:
     return h.select("driver_id", "full_name", "license_number", "rating", "total_trips", epoch(F.col("valid_from")).alias("valid_from"), epoch(F.col("valid_to")).alias("valid_to"), "is_current")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_trips, p3_zone_day_percentiles, p3_zone_percentiles, p4_found, p4_driver_hours, p5_found, p5_periods, p6_found, p6_zones, p7_found, p7_history)}
-
-_EVENTS = "SELECT event_id, min(zone_id) AS zone_id, min(CAST(timezone('UTC', recorded_at) AS DATE)) AS day, min(speed_kmh) AS speed_kmh FROM processed_locations GROUP BY event_id"
-
-
-def _percentiles(keys: str, day: bool) -> str:
-    qs = ", ".join(f"({q})" for q in QUANTILES)
-    on = "r.zone_id IS NOT DISTINCT FROM t.zone_id" + (" AND r.day = t.day" if day else "")
-    return f"""WITH e AS ({_EVENTS}), r AS (
-        SELECT {keys}, speed_kmh, row_number() OVER (PARTITION BY {keys} ORDER BY speed_kmh) AS rn, count(*) OVER (PARTITION BY {keys}) AS n
-        FROM e WHERE speed_kmh IS NOT NULL AND NOT isnan(speed_kmh)), q AS (SELECT CAST(col0 AS DOUBLE) AS quantile FROM (VALUES {qs}))
-        SELECT {', '.join('r.' + k.strip() for k in keys.split(','))}, r.n, q.quantile, r.speed_kmh AS percentile
-        FROM r, q WHERE r.rn = greatest(1, CAST(ceil(round(q.quantile * r.n, 6)) AS BIGINT))"""
-
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_trips, p4_found, p4_driver_hours, p5_found, p5_periods, p6_found, p6_zones, p7_found, p7_history)}
 
 _FIRST = "SELECT event_id, min(processed_at) AS p, min(recorded_at) AS r, min(driver_id) AS driver_id FROM processed_locations WHERE driver_id IS NOT NULL AND recorded_at IS NOT NULL AND processed_at IS NOT NULL GROUP BY event_id"
 _HOURS = f"SELECT driver_id, CAST(floor(epoch(r) / 3600) AS BIGINT) * 3600 AS period_start, epoch_us(p) AS p FROM ({_FIRST})"
@@ -120,8 +88,6 @@ _SNAP = """WITH x AS (SELECT driver_id, snapshot_date, full_name, license_number
     h AS (SELECT * FROM s WHERE no = 1 OR nm IS DISTINCT FROM pn OR lic IS DISTINCT FROM pl OR rat IS DISTINCT FROM pr)"""
 
 SQL = {
-    "p3_zone_day_percentiles": _percentiles("zone_id, day", True),
-    "p3_zone_percentiles": _percentiles("zone_id", False),
     "p4_found": f"SELECT DISTINCT driver_id, period_start FROM ({_HOURS}) WHERE p >= (period_start + 3900) * 1000000 AND p < (period_start + 25200) * 1000000",
     "p4_driver_hours": f"""SELECT driver_id, period_start, count(*) FILTER (WHERE p < (period_start + 3900) * 1000000) AS n_published,
         count(*) FILTER (WHERE p < (period_start + 25200) * 1000000) AS n_corrected, count(*) FILTER (WHERE p >= (period_start + 25200) * 1000000) AS n_too_late

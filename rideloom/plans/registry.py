@@ -12,7 +12,7 @@ _MODULES = [problems, reading, joining, aggregating, windowing, warehouse, scala
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p3_zone_percentiles(spark, sf_dir)
+    return problems.p4_driver_hours(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
