@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from rideloom.session import shared_dir
 
-#: A key is hot if it holds more than this part of all rows; so at most 1 / HOT_PART keys can be hot,
-#: and the list of them is small whatever the size of the data.
+#: A key is hot if it holds more than this part of all rows, or more than HOT_MOST rows whatever the total.
 HOT_PART = 1 / 256
-#: Below this many rows a key is never worth splitting.
-HOT_ROWS = 100_000
+#: Below this many rows a key is never worth splitting; from HOT_MOST on it always is.
+HOT_ROWS, HOT_MOST = 100_000, 4_000_000
+#: Hot keys up to this number are a list of literals; more go to every executor as a table, more still are joined by a shuffle.
+MOST_LISTED, MOST_SHIPPED = 512, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +31,21 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
-def hot_keys(df: DataFrame, key: str, part: float = HOT_PART, least: int = HOT_ROWS) -> list[str]:
-    """Keys that hold more than `part` of all rows and more than `least` rows: at most 1 / part of them.
+def mark_hot(df: DataFrame, key: str, mark: str, part: float = HOT_PART, least: int = HOT_ROWS, most: int = HOT_MOST) -> tuple[DataFrame, bool]:
+    """The rows with a column that tells whether their key is hot, and whether any is.
 
-    Counts are partially aggregated before the shuffle, and only the few hot keys reach the driver.
+    Hot is a key with more than `part` of all rows and more than `least`, or with more than `most`. Counts are partially
+    aggregated before the shuffle; at most MOST_LISTED + 1 of them reach the driver.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull() & (F.col("n") > least))
-    top = counts.orderBy(F.desc("n"), key).limit(int(1 / part) + 1).collect()
-    if not top:
-        return []
-    bound = df.count() * part
-    return [r[0] for r in top if r["n"] > bound]
+    top = counts.orderBy(F.desc("n"), key).limit(MOST_LISTED + 1).collect()
+    bound = min(df.count() * part, most) if top else most
+    few = [r[0] for r in top if r["n"] > bound]
+    if len(few) <= MOST_LISTED:
+        return df.withColumn(mark, F.coalesce(is_any(F.col(key), few), F.lit(False))), bool(few)
+    hot = written(counts.where(F.col("n") > bound).select(F.col(key).alias("_hot_key")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= MOST_SHIPPED else hot
+    return df.join(hot, df[key] == F.col("_hot_key"), "left").withColumn(mark, F.col("_hot_key").isNotNull()).drop("_hot_key"), True
 
 
 def tasks_for(df: DataFrame, rows_a_task: int = 100_000, most: int = 20_000) -> int:

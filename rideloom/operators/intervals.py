@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import hot_keys, is_any, need
+from rideloom.common import mark_hot, need
 
 FOREVER = 2**62
 SLICE_S = 30 * 86_400
@@ -98,10 +98,10 @@ def merged_periods(df: DataFrame, *, entity: str, start: str, ends: list[str], s
     d = d.select(F.col(entity).cast("string").alias("entity"), sec(start).alias("s"), F.coalesce(end, F.lit(FOREVER)).alias("e"))
     d = d.where(F.col("entity").isNotNull() & F.col("s").isNotNull() & (F.col("e") > F.col("s")))
     limits = {k: v for k, v in (("part", hot_part), ("least", hot_least)) if v is not None}
-    hot = hot_keys(d, "entity", **limits)
-    d = d.withColumn("slice", F.when(is_any(F.col("entity"), hot), F.floor(F.col("s") / slice_s).cast("long")).otherwise(F.lit(0).cast("long")))
+    d, hot = mark_hot(d, "entity", "hot", **limits)
+    d = d.withColumn("slice", F.when(F.col("hot"), F.floor(F.col("s") / slice_s).cast("long")).otherwise(F.lit(0).cast("long")))
     if hot:
-        ends_by = d.where(is_any(F.col("entity"), hot)).groupBy("entity", "slice").agg(F.max("e").alias("last"))
+        ends_by = d.where("hot").groupBy("entity", "slice").agg(F.max("e").alias("last"))
         before = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         ends_by = ends_by.select("entity", "slice", F.max("last").over(before).alias("before"))
         d = d.join(ends_by, ["entity", "slice"], "left")

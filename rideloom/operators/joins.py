@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import hot_keys, is_any, time_slice
+from rideloom.common import mark_hot, time_slice
 from rideloom.functions.geo import haversine
 
 #: Dimensions with no more rows than this go to every executor; larger ones are shuffled.
@@ -39,12 +39,12 @@ def as_of(labels: DataFrame, features: DataFrame, *, entity: str, label_ts: str,
     left = labels.select(F.struct(*labels.columns).alias("label"), F.col(entity).alias("e"), F.col(label_ts).alias("at"), F.lit(1).alias("side"))
     right = features.where(F.col(feature_ts).isNotNull()).select(carried.alias("feature"), F.col(entity).alias("e"), F.col(feature_ts).alias("at"), F.lit(0).alias("side"))
     both = left.unionByName(right, allowMissingColumns=True)
-    hot = hot_keys(both, "e")
-    both = both.withColumn("slice", F.when(is_any(F.col("e"), hot), time_slice(F.col("at").cast("timestamp"), slice_hours)).otherwise(F.lit(0).cast("long")))
+    both, hot = mark_hot(both, "e", "hot")
+    both = both.withColumn("slice", F.when(F.col("hot"), time_slice(F.col("at").cast("timestamp"), slice_hours)).otherwise(F.lit(0).cast("long")))
     w = Window.partitionBy("e", "slice").orderBy("at", "side", "feature").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("found", F.last("feature", ignorenulls=True).over(w)).where("side = 1")
     if hot:
-        ends = both.where(is_any(F.col("e"), hot)).groupBy("e", "slice").agg(F.max("feature").alias("last"))
+        ends = both.where("hot").groupBy("e", "slice").agg(F.max("feature").alias("last"))
         before = Window.partitionBy("e").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select("e", "slice", F.last("last", ignorenulls=True).over(before).alias("earlier"))
         found = found.join(ends, ["e", "slice"], "left").withColumn("found", F.coalesce("found", "earlier"))

@@ -1,12 +1,14 @@
 """Implausible readings: Hampel filter per source, run lengths of stuck values, physical bounds.
 
 One shuffle brings each device's readings together; every window of the operator uses that partitioning.
-A device that holds a large part of all rows is split into time slices; runs of equal values are joined
-again over the slice edges, so a split never changes what counts as stuck.
+A device that holds a large part of all rows is split into time slices; runs of equal values are joined again over
+the slice edges, and windows reach over them by the nearest rows of the slices before and after, so a split changes
+no result.
 
 Defined results: null is never a case; NaN always is; rows sharing an id are one record (the first by time);
 a null device or time forms no series, so only the physical bounds apply; empty input gives no rows;
-other columns of the input, clashing names included, are ignored.
+other columns of the input, clashing names included, are ignored. A device with fewer readings of a field than its
+least_n is held to the lower of its own and the fleet's level, since its own says little yet.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import hot_keys, is_any, need, time_slice, written
+from rideloom.common import mark_hot, need, time_slice, written
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,8 @@ class Field:
     least_n: int = 30  # with fewer readings the level of the whole fleet limits the device's own
 
 
+#: Rows to either side in which a missing reading of the moving field is looked up.
+LOOK_ROWS = 3
 #: Hampel filter: half width of the rolling window in rows, factor, least spread as part of the rolling median.
 HALF, FACTOR, LEAST_SPREAD = 10, 2.5, 0.25
 #: Readings in a row that make a stuck stretch; share of repeats elsewhere at which a device reports so coarsely that it can't be told.
@@ -45,8 +49,8 @@ MAD_TO_SIGMA = 1.4826
 
 
 def _median(a: Column) -> Column:
-    """Of a non-empty array."""
-    s, n = F.array_sort(a), F.size(a)
+    """Of a non-empty array; sort_array, since array_sort compares by an interpreted function."""
+    s, n = F.sort_array(a), F.size(a)
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2
 
 
@@ -65,19 +69,70 @@ def _judged(f: Field, v: Column) -> Column:
     return ok & (v > f.moving_over) if f.moving_over is not None and f.moving_field is None else ok
 
 
-def _with_runs(raw: DataFrame, fields: list[Field], slice_hours: int) -> DataFrame:
+def _order(*more: str):
+    return Window.partitionBy("_dev", "_slice", *more).orderBy("_ts", "_id")
+
+
+def _distinct(raw: DataFrame) -> DataFrame:
+    """Rows sharing an id once."""
+    rows = raw.withColumn("_before", F.lag("_id").over(_order()))
+    return rows.where(F.col("_before").isNull() | (F.col("_id") != F.col("_before")) | F.col("_id").isNull()).drop("_before")
+
+
+def _context(ctx: Column) -> Column:
+    """A map key that tells null and empty contexts apart."""
+    return F.coalesce(F.concat(F.lit("="), ctx), F.lit(""))
+
+
+def _around_slices(rows: DataFrame, value: Column, name: str, many: int, by_context: bool = False) -> DataFrame:
+    """(_dev, _slice, <name>: before, after): values of the last `many` rows of earlier slices and the first of later ones.
+
+    Values are null where a row has none. With by_context a map from each context to its own such rows. Each slice
+    there is holds a row at least, so `many` slices to either side are enough, however thin they are.
+    """
+    more = ["_ctx"] if by_context else []
+    x = rows.select("_dev", "_slice", *more, value.alias("v"), F.row_number().over(_order(*more)).alias("p"), F.count(F.lit(1)).over(Window.partitionBy("_dev", "_slice", *more)).alias("m"))
+    pick = lambda where: F.sort_array(F.collect_list(F.when(where, F.struct("p", "v"))))["v"]
+    x = x.where((F.col("p") <= many) | (F.col("p") > F.col("m") - many)).groupBy("_dev", "_slice", *more).agg(pick(F.col("p") <= many).alias("head"), pick(F.col("p") > F.col("m") - many).alias("tail"))
+    over = Window.partitionBy("_dev", *more).orderBy("_slice")
+    before, after = F.flatten(F.collect_list("tail").over(over.rowsBetween(-many, -1))), F.flatten(F.collect_list("head").over(over.rowsBetween(1, many)))
+    x = x.select("_dev", "_slice", *more, before.alias("b"), after.alias("a"))
+    x = x.withColumn(name, F.struct(F.slice("b", F.greatest(F.size("b") - many, F.lit(0)) + 1, many).alias("before"), F.slice("a", 1, many).alias("after")))
+    if by_context:
+        x = x.groupBy("_dev", "_slice").agg(F.map_from_entries(F.collect_list(F.struct(_context(F.col("_ctx")), F.col(name)))).alias(name))
+    return x.select("_dev", "_slice", name)
+
+
+def _with_runs(raw: DataFrame, fields: list[Field], hot: Column | None) -> DataFrame:
     """Distinct readings with, per field that can be stuck, whether it is active, its run number and the run's length.
 
-    Windows of one device and slice: a single shuffle and sort serves all of them.
+    Windows of one device and slice: a single shuffle and sort serves all of them. hot marks rows of split devices.
     """
-    order = Window.partitionBy("_dev", "_slice").orderBy("_ts", "_id")
-    rows = raw.withColumn("_before", F.lag("_id").over(order))
-    rows = rows.where(F.col("_before").isNull() | (F.col("_id") != F.col("_before")) | F.col("_id").isNull()).drop("_before")
+    order, rows = _order(), _distinct(raw)
     movers = {f.moving_field: next(m for m in fields if m.name == f.moving_field) for f in fields if f.moving_field}
     if movers:
-        rows = rows.withColumns({f"_{n}_seen": F.when(_judged(Field(n, m.low, m.high, m.low_open), F.col(n)), F.col(n)) for n, m in movers.items()})
-        around = lambda n, step: F.coalesce(*[step(f"_{n}_seen", i).over(order) for i in (1, 2, 3)])
-        rows = rows.withColumns({f"_{n}_near": F.coalesce(f"_{n}_seen", F.least(around(n, F.lag), around(n, F.lead))) for n in movers})
+        seen = {n: F.when(_judged(Field(n, m.low, m.high, m.low_open), F.col(n)), F.col(n)) for n, m in movers.items()}
+        beyond = {}
+        if hot is not None:
+            for n in movers:
+                beyond[n] = f"_{n}_beyond"
+                rows = rows.join(_around_slices(_distinct(raw.where(hot)), seen[n], beyond[n], LOOK_ROWS), ["_dev", "_slice"], "left")
+            rows = rows.withColumns({"_p": F.row_number().over(order), "_m": F.count(F.lit(1)).over(Window.partitionBy("_dev", "_slice"))})
+        rows = rows.withColumns({f"_{n}_seen": seen[n] for n in movers})
+
+        def step(n: str, back: bool, i: int) -> Column:
+            inside = (F.lag if back else F.lead)(f"_{n}_seen", i).over(order)
+            if hot is None:
+                return inside
+            if back:  # i rows back are i - p + 1 rows before the slice
+                far = F.reverse(F.col(beyond[n])["before"])
+                return F.when(F.col("_p") > i, inside).otherwise(F.try_element_at(far, (i - F.col("_p") + 1).cast("int")))
+            over = F.col("_p") + i - F.col("_m")
+            return F.when(over <= 0, inside).otherwise(F.try_element_at(F.col(beyond[n])["after"], over.cast("int")))
+
+        around = lambda n, back: F.coalesce(*[step(n, back, i) for i in range(1, LOOK_ROWS + 1)])
+        rows = rows.withColumns({f"_{n}_near": F.coalesce(f"_{n}_seen", F.least(around(n, True), around(n, False))) for n in movers})
+        rows = rows.drop("_p", "_m", *beyond.values())
 
     def active(f: Field) -> Column:
         v = F.col(f.name)
@@ -139,8 +194,8 @@ def flag_readings(df: DataFrame, fields: list[Field], *, id_col: str, device: st
     raw = need(df, id_col, device, ts, *([context] if context else []), *names)
     raw = raw.select(F.col(id_col).alias("_id"), F.col(device).alias("_dev"), F.col(ts).cast("timestamp").alias("_ts"), (F.col(context) if context else F.lit(None).cast("string")).alias("_ctx"), *[F.col(n) for n in names])
     limits = {k: v for k, v in (("part", hot_part), ("least", hot_least)) if v is not None}
-    hot = hot_keys(raw, "_dev", **limits)
-    raw = raw.withColumn("_slice", F.when(is_any(F.col("_dev"), hot), F.coalesce(time_slice(F.col("_ts"), slice_hours), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    raw, hot = mark_hot(raw, "_dev", "_hot", **limits)
+    raw = raw.withColumn("_slice", F.when(F.col("_hot"), F.coalesce(time_slice(F.col("_ts"), slice_hours), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     spiky, stuck = [f for f in fields if f.above is not None], [f for f in fields if f.stuck]
 
     # Levels of each device and of the fleet: mergeable sketches, partially aggregated before the shuffle.
@@ -155,14 +210,16 @@ def flag_readings(df: DataFrame, fields: list[Field], *, id_col: str, device: st
         if f.by_context:
             every = raw.groupBy("_ctx").agg(*level(f)).select(F.col("_ctx").alias("_c"), F.col("lvl").alias("all"))
             own = own.join(every, F.col("_ctx").eqNullSafe(F.col("_c")), "left").drop("_c")
-            entry = F.struct(F.coalesce("_ctx", F.lit("")), F.struct("lvl", "n", "all"))
+            entry = F.struct(_context(F.col("_ctx")), F.struct("lvl", "n", "all"))
             own = own.groupBy("_dev").agg(F.map_from_entries(F.collect_list(entry)).alias(f"{f.name}_of"))  # a line a context
         else:
             every = raw.agg(*level(f)).select(F.col("lvl").alias("all"))
             own = own.crossJoin(F.broadcast(every)).select("_dev", F.struct("lvl", "n", "all").alias(f"{f.name}_of"))  # one row
         facts = facts.join(own, "_dev", "left")
 
-    rows = _with_runs(raw.withColumns({n: F.col(n).cast("double") for n in names}), fields, slice_hours)
+    raw = raw.withColumns({n: F.col(n).cast("double") for n in names})
+    is_hot = F.col("_hot") if hot else None
+    rows = _with_runs(raw, fields, is_hot)
     # Rolling values around each reading; the sort of them is only paid for candidates.
     around = Window.partitionBy("_dev", "_slice").orderBy("_ts", "_id").rowsBetween(-HALF, HALF)
     around_ctx = Window.partitionBy("_dev", "_slice", "_ctx").orderBy("_ts", "_id").rowsBetween(-HALF, HALF)
@@ -172,14 +229,26 @@ def flag_readings(df: DataFrame, fields: list[Field], *, id_col: str, device: st
         | {f"{f.name}_{k}": F.sum(c(f)).over(whole) for f in stuck for k, c in (("short", _short), ("same", _same))}
     )
     if hot and stuck:
-        split = raw.where(is_any(F.col("_dev"), hot)).withColumns({n: F.col(n).cast("double") for n in names})
-        facts = facts.join(_over_slices(_with_runs(split, fields, slice_hours), stuck), ["_dev", "_slice"], "left")
+        facts = facts.join(_over_slices(_with_runs(raw.where(is_hot), fields, is_hot), stuck), ["_dev", "_slice"], "left")
+    if hot:
+        for f in spiky:
+            value = F.when(_judged(f, F.col(f.name)), F.col(f.name))
+            facts = facts.join(_around_slices(_distinct(raw.where(is_hot)), value, f"{f.name}_beyond", HALF, f.by_context), ["_dev", "_slice"], "left")
+        for tag, more in (("", []), ("_c", ["_ctx"])):
+            rows = rows.withColumns({f"_p{tag}": F.row_number().over(_order(*more)), f"_m{tag}": F.count(F.lit(1)).over(Window.partitionBy("_dev", "_slice", *more))})
     judged = rows.join(facts, ["_dev", "_slice"], "left")
 
     def far(f: Field) -> Column:
         v, near, of = F.col(f.name), F.col(f"{f.name}_near"), F.col(f"{f.name}_of")
         if f.by_context:
-            of = F.try_element_at(of, F.coalesce("_ctx", F.lit("")))
+            of = F.try_element_at(of, _context(F.col("_ctx")))
+        if hot:
+            beyond, p, m = F.col(f"{f.name}_beyond"), F.col("_p_c" if f.by_context else "_p"), F.col("_m_c" if f.by_context else "_m")
+            if f.by_context:
+                beyond = F.try_element_at(beyond, _context(F.col("_ctx")))
+            lack, over = F.greatest(HALF - p + 1, F.lit(0)), F.greatest(p + HALF - m, F.lit(0)).cast("int")
+            before = F.slice(beyond["before"], F.greatest(F.size(beyond["before"]) - lack, F.lit(0)) + 1, HALF)
+            near = F.when(beyond.isNotNull() & ((lack > 0) | (over > 0)), F.array_compact(F.concat(before, near, F.slice(beyond["after"], F.lit(1), over)))).otherwise(near)
         few = F.coalesce(of["n"], F.lit(0)) < f.least_n
         normal = F.when(few, F.least(of["lvl"], of["all"])).otherwise(of["lvl"])
         med = _median(near)

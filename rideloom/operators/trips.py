@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import hot_keys, is_any, need, tasks_for, time_slice
+from rideloom.common import mark_hot, need, tasks_for, time_slice
 from rideloom.functions.geo import haversine, is_place
 
 RADIUS_M = 100.0
@@ -49,22 +49,22 @@ def sessions(pings: DataFrame, silence_s: float = LONGEST_SILENCE_S, hot_part: f
     p = need(pings, "driver_id", "latitude", "longitude", "recorded_at").where(F.col("driver_id").isNotNull() & F.col("recorded_at").isNotNull())
     p = p.select("driver_id", "latitude", "longitude", F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("us"), F.col("recorded_at").cast("timestamp").alias("ts"))
     limits = {k: v for k, v in (("part", hot_part), ("least", hot_least)) if v is not None}
-    hot = hot_keys(p, "driver_id", **limits)
-    p = p.withColumn("slice", F.when(is_any(F.col("driver_id"), hot), time_slice(F.col("ts"), SLICE_HOURS)).otherwise(F.lit(0).cast("long"))).drop("ts")
+    p, hot = mark_hot(p, "driver_id", "hot", **limits)
+    p = p.withColumn("slice", F.when(F.col("hot"), time_slice(F.col("ts"), SLICE_HOURS)).otherwise(F.lit(0).cast("long"))).drop("ts")
     order = Window.partitionBy("driver_id", "slice").orderBy("us", "latitude", "longitude")
     same = (F.col("us") == F.lag("us").over(order)) & F.lag("latitude").over(order).eqNullSafe(F.col("latitude")) & F.lag("longitude").over(order).eqNullSafe(F.col("longitude"))
     p = p.withColumn("again", F.coalesce(same, F.lit(False))).where(~F.col("again")).drop("again")
     p = p.withColumn("before", F.lag("us").over(order))
     far = F.col("us") - F.col("before") > F.lit(silence_s * 1_000_000)
     if not hot:
-        return p.withColumn("session", F.sum(F.coalesce(far, F.lit(False)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("slice", "before")
-    slices = p.where(is_any(F.col("driver_id"), hot)).groupBy("driver_id", "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum(F.coalesce(far, F.lit(False)).cast("long")).alias("inner"))
+        return p.withColumn("session", F.sum(F.coalesce(far, F.lit(False)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("slice", "before", "hot")
+    slices = p.where("hot").groupBy("driver_id", "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum(F.coalesce(far, F.lit(False)).cast("long")).alias("inner"))
     over = Window.partitionBy("driver_id").orderBy("slice")
     opens = F.coalesce(F.col("first") - F.lag("last").over(over) > F.lit(silence_s * 1_000_000), F.lit(False)).cast("long")
     slices = slices.withColumn("opens", opens).withColumn("base", F.sum(F.col("opens") + F.col("inner")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("inner"))
     p = p.join(slices.select("driver_id", "slice", "base"), ["driver_id", "slice"], "left")
     within = F.sum(F.coalesce(far, F.lit(False)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("session", within + F.coalesce("base", F.lit(0).cast("long"))).drop("slice", "before", "base")
+    return p.withColumn("session", within + F.coalesce("base", F.lit(0).cast("long"))).drop("slice", "before", "base", "hot")
 
 
 #: Moving pings farther than this many radii from the places before and after them can join neither and are left out.

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute_stops import all_stops
+from rideloom import common
 from rideloom.common import table
 from rideloom.operators import history, intervals, late, proximity, spikes, trips
 
@@ -23,10 +24,37 @@ def rows(df):
 def test_spikes_do_not_depend_on_splitting(spark, small):
     pings = table(spark, small, "driver_locations")
     keys = ("reading_id", "field", "reason")
-    stuck_only = lambda d: rows(d.select(*keys).where("reason <> 'spike'"))  # noqa: E731  a rolling window ends at a slice
-    whole = spikes.implausible_pings(pings)
-    assert stuck_only(whole) == stuck_only(spikes.implausible_pings(pings, **SPLIT, slice_hours=1))
-    assert whole.count() > 0
+    whole = rows(spikes.implausible_pings(pings).select(*keys))
+    assert whole and rows(spikes.implausible_pings(pings, **SPLIT, slice_hours=1).select(*keys)) == whole
+
+
+def test_windows_reach_over_slices(spark):
+    """Spikes, contexts and standing at slice edges, with slices thinner than the windows."""
+    rng = random.Random(11)
+    data, at = [], T0 - timedelta(minutes=3)
+    for i in range(700):
+        at += timedelta(seconds=rng.choice([20, 60, 60, 1500 if i % 40 == 0 else 60]))
+        fast = i % 100 in (3, 4, 5, 58)
+        accuracy = 90.0 if i % 61 == 7 else rng.uniform(4, 9)
+        data.append((f"r{i:04}", "d", 25.0 if fast else 2.0 + rng.random() / 5, accuracy, 90.0 if 300 <= i < 320 else rng.uniform(0, 360), rng.choice(["gps", "gps", "gps", "network", "", None]), at))
+    data = [(a, b, None if i % 7 == 0 else c, d, e, f, g) for i, (a, b, c, d, e, f, g) in enumerate(data)]
+    df = spark.createDataFrame(data, PING)
+    keys = ("reading_id", "field", "reason")
+    whole = rows(spikes.implausible_pings(df).select(*keys))
+    assert {r[2] for r in whole} == {"spike", "stuck"}
+    for hours in (1, 3):
+        assert rows(spikes.implausible_pings(df, **SPLIT, slice_hours=hours).select(*keys)) == whole
+
+
+def test_many_hot_keys(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 10).cast("string").alias("k")).union(spark.range(30).select(F.lit(None).cast("string")))
+    want = {str(i): True for i in range(10)} | {None: False}
+    for listed, shipped in ((100, 100), (3, 100), (3, 3)):
+        monkeypatch.setattr(common, "MOST_LISTED", listed)
+        monkeypatch.setattr(common, "MOST_SHIPPED", shipped)
+        marked, any_hot = common.mark_hot(df, "k", "hot", part=0.9, least=10, most=50)
+        assert any_hot and {r.k: r.hot for r in marked.distinct().collect()} == want
+    assert common.mark_hot(df, "k", "hot", part=0.9, least=10)[1] is False
 
 
 PING = "id string, driver_id string, speed float, accuracy float, heading float, source string, recorded_at timestamp"
