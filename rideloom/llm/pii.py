@@ -6,9 +6,12 @@ spans are generated by form (every type may claim overlapping and nested spans),
 programming over end positions jointly chooses boundaries and types: the best-scoring set of spans that don't
 overlap. A person has at most MOST_NAME_TOKENS tokens, so the work grows with the text's length only.
 
+Features come in blocks, small tuples that many spans share; a block stands for a set of features, and its summed
+weight is kept, so scoring a span is a few look-ups.
+
 The weights are fitted here, by the gradient of the conditional likelihood (forward-backward over the same
-candidates), on sentences made from a small grammar (train_sentences) with known spans; their number is a
-parameter. Names come from a list of known names, which is incomplete: spans are drawn from it with parts hidden.
+candidates), on sentences made from a grammar of general knowledge (train_sentences) with known spans; their number is
+a parameter. Names come from a list of known names, which is incomplete: most names of the sentences are not on it.
 
 Defined results: null and empty texts have no spans; offsets count code points; rows are judged alone, so repeated
 rows have the same spans; texts of any length are read whole; other columns are ignored.
@@ -21,7 +24,7 @@ import random
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -29,12 +32,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rideloom.llm.pii_grammar import CUES, train_sentences
+from rideloom.llm import pii_words as W
+from rideloom.llm.pii_grammar import train_sentences
 
 KINDS = ("email", "phone", "national_id", "address", "person")
 MOST_NAME_TOKENS = 7
 #: Sentences the weights are fitted on, and passes over them.
-TRAIN_SENTENCES, PASSES = 3000, 6
+TRAIN_SENTENCES, PASSES = 4000, 5
 #: Names on the list are at most this many; the list goes to every executor.
 MOST_NAMES = 200_000
 
@@ -45,7 +49,40 @@ _LOCAL = r"[\p{L}\p{M}\p{N}_](?:[\p{L}\p{M}\p{N}_+\-]|\.(?=[\p{L}\p{M}\p{N}_+\-]
 _LABEL = r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}\-]*[\p{L}\p{M}\p{N}])?"
 _AT_SIGN = regex.compile(r"@|(?<=\s)at(?=\s)|\[\s*at\s*\]|\(\s*at\s*\)|(?<=\s)arroba(?=\s)", regex.I)
 _DOMAIN = regex.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}", regex.I)
-_BEFORE_AT = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_.+\-]){_LOCAL}(?:(?:\s+dot\s+|\s*\[dot\]\s*|\s*\(dot\)\s*){_LOCAL})*$", regex.I)
+_DIGIT = regex.compile(r"\d")
+_DOT_WORD = regex.compile(r"\b(?:dot|punkt|punto|ponto|point)\b")
+_LOCAL_SIGN = regex.compile(r"[\p{L}\p{M}\p{N}_+\-.]")
+_SPELLED_DOT = regex.compile(r"(?:\s\s*dot\s*\s|\s*\[\s*dot\s*\]\s*|\s*\(\s*dot\s*\)\s*)", regex.I)
+
+
+def _local_start(text: str, end: int) -> int:
+    """Where the local part of an address that ends at `end` starts; end itself if there is none. Parts may be joined by a spelled dot."""
+    at = end
+    while True:
+        start = at
+        while start and _LOCAL_SIGN.match(text[start - 1]):
+            start -= 1
+        while start < at and text[start] in ".+-":
+            start += 1
+        if start == at:
+            return end if at == end else back
+        back = start
+        # A spelled dot before it joins another part.
+        i = start
+        while i and text[i - 1].isspace():
+            i -= 1
+        for tail in ("dot", "[dot]", "(dot)", "[ dot ]", "( dot )"):
+            j = i - len(tail)
+            if j > 0 and text[j:i].lower() == tail:
+                while j and text[j - 1].isspace():
+                    j -= 1
+                if _SPELLED_DOT.fullmatch(text, j, start) and j:
+                    at = j
+                    break
+        else:
+            return start
+
+
 PHONE = [
     ("plus", regex.compile(r"(?<![\w/+])\+\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-]?)?\d{1,4}(?:[\s.\-]?\d{2,8}){1,5}(?!\d)")),
     ("bracket", regex.compile(r"(?<![\d\w+])\(0?\d{2,4}\)[\s.\-/]?\d{2,5}(?:[\s.\-]?\d{2,6}){0,3}(?!\d)")),
@@ -94,13 +131,6 @@ ADDRESS = [
 _LETTERS = r"(?:[\p{Latin}\p{Cyrillic}\p{Greek}\p{Arabic}\p{Devanagari}\p{M}]|(?<=[ÃÂ])[\x80-\xbf])+"
 _TOKEN = regex.compile(rf"{_LETTERS}(?:['’](?!s\b|S\b){_LETTERS})*\.?|\d+|[\r\n]+|[^\s\p{{L}}\p{{M}}\d]|\p{{L}}")
 _SIGN = regex.compile(r"[\p{L}\p{M}\p{N}]+|[\r\n]+|[^\s\p{L}\p{M}\p{N}]")
-#: Particles of names, titles, months and words that make a capitalised phrase a place or firm.
-PARTICLES = frozenset("da de di do dos du del della der den van von al el la le ter bin ibn ben af av zu mac mc o d".split())
-TITLES = frozenset("mr mrs ms miss dr prof sir madam herr frau hr fr mme mlle sr sra srta señor señora dona don monsieur madame senhor senhora".split())
-MONTHS = frozenset("january february march april may june july august september october november december".split())
-PLACE_WORDS = frozenset("gate row quay square heights point yards fields park terrace street st road rd avenue ave lane way crescent boulevard blvd harbor harbour bridge station line cabs motors logistics fleet support authority tower market bay pier stand dock level terminal oren post services group ltd inc gmbh llc taxi transit rides customer help".split())
-
-
 @lru_cache(maxsize=100_000)
 def plain(word: str) -> str:
     """Without case and accents, for endings and lists: broken or missing accents then still match."""
@@ -168,7 +198,7 @@ class Span:
     start: int
     end: int
     kind: str
-    features: list[str]
+    features: list
 
 
 # ---- candidates -------------------------------------------------------------------------------------------------
@@ -202,21 +232,78 @@ class Signs:
                     _PLAIN_WORDS.clear()
                 _PLAIN_WORDS[w] = words[-1]
 
-    def left(self, at: int) -> tuple[str, str, str]:
-        """Three before a place, nearest first."""
-        i = bisect_right(self.ends, at)
-        w = self.words
-        return (w[i - 1] if i > 0 else "^", w[i - 2] if i > 1 else "^", w[i - 3] if i > 2 else "^")
 
-    def right(self, at: int) -> tuple[str, str]:
-        i = bisect_left(self.starts, at)
-        w = self.words
-        return (w[i] if i < len(w) else "$", w[i + 1] if i + 1 < len(w) else "$")
-
-
-def _context(kind: str, signs: Signs, start: int, end: int) -> list[str]:
-    a, b = signs.left(start), signs.right(end)
-    return [f"{kind}|bias", f"{kind}|l1={a[0]}", f"{kind}|l2={a[1]} {a[0]}", f"{kind}|l3={a[2]} {a[1]} {a[0]}", f"{kind}|r1={b[0]}", f"{kind}|r2={b[0]} {b[1]}"]
+def _plained(words: Iterable[str]) -> frozenset[str]:
+    return frozenset(plain(w) for w in words)
+
+
+PARTICLES, PLACE_WORDS, CALENDAR = _plained(W.PARTICLES), _plained(W.PLACE_WORDS), _plained(W.CALENDAR)
+ORDINARY = _plained(W.ORDINARY).union(*map(_plained, W.ORDINARY_OTHER)) - PARTICLES
+_CUE_OF = {w: kind for kind, words in (("kin", W.KIN), ("role", W.ROLE), ("sign", W.SIGN_OFF), ("greet", W.GREETING), ("title", W.TITLES)) for w in _plained(words)}
+_NAMING = frozenset(" ".join(plain(w) for w in phrase.split()) for phrase in W.NAMING)
+TITLES = _plained(W.TITLES)
+_ELIDED = frozenset("j l d m n s t c qu".split())
+_NAMING_ENDS = frozenset(phrase.rsplit(" ", 1)[-1] for phrase in _NAMING)
+_SAYING = _plained(W.SAYING)
+_NUMBER_OF = {w: kind for kind, words in W.NUMBER_WORDS.items() for w in _plained(words)}
+_GAP = frozenset(":=,\"'(-—–>|{<.*\n")
+
+
+def _cue(words: list[str], i: int) -> str:
+    """What opens a name at sign i: its kind and the signs in between, or nothing."""
+    j, gap = i - 1, ""
+    while j >= 0 and words[j] in _GAP and len(gap) < 3:
+        gap = words[j] + gap
+        j -= 1
+    if j < 0:
+        return "^" + gap
+    w = words[j]
+    if w in _NAMING_ENDS:
+        two = f"{words[j - 1]} {w}" if j else w
+        if w in _NAMING or two in _NAMING or (j > 1 and (f"{words[j - 2]} {two}" in _NAMING or j > 2 and f"{words[j - 3]} {words[j - 2]} {two}" in _NAMING)):
+            return "name" + gap
+    kind = _CUE_OF.get(w)
+    return kind + gap if kind else "/" + gap if gap else ""
+
+
+_STRONG_CUES = frozenset(["name", "name:", "title", "title.", "greet", "greet,", "sign,\n", "sign\n", "role:", "role=", 'role":"'])
+
+
+def _left(kind: str, signs: Signs, start: int) -> tuple:
+    i = bisect_right(signs.ends, start)
+    w = signs.words
+    near = ""
+    for j in range(i - 1, max(-1, i - 6), -1):
+        near = _NUMBER_OF.get(w[j], "")
+        if near:
+            break
+    return ("L", kind, w[i - 1] if i else "^", w[i - 2] if i > 1 else "^", near)
+
+
+def _right(kind: str, signs: Signs, end: int) -> tuple:
+    i = bisect_left(signs.starts, end)
+    return ("R", kind, signs.words[i] if i < len(signs.words) else "$")
+
+
+def expand(block: tuple) -> list[str]:
+    """The features a block stands for."""
+    tag, kind = block[:2]
+    if tag == "L":
+        _, _, a, b, near = block
+        return [f"{kind}|bias", f"{kind}|l1={a}", f"{kind}|l2={b} {a}", f"{kind}|near={near}"]
+    if tag == "R":
+        r = block[2]
+        return [f"{kind}|r1={r}", f"{kind}|saying={r in _SAYING}", f"{kind}|rplace={r in PLACE_WORDS}", f"{kind}|rord={r in ORDINARY}"]
+    if tag == "F":
+        return [f"{kind}|{x}" for x in block[2:]]
+    if tag == "P":
+        _, _, shape, mode, cue, prev, follow, known, first = block
+        parts = shape.split(" ")
+        coarse = " ".join("N" if x in ("g", "f", "b", "m", "C") else x for x in parts)
+        kindc = cue.rstrip(":=,\"'(-—–>|{<.*\n")
+        return [f"p|{x}" for x in (f"shape={shape}", f"shape={shape} {mode}", f"coarse={coarse}", f"coarse={coarse} cue={cue}", f"coarse={coarse} {kindc}", f"cue={cue}", f"shape={shape} {kindc}", f"prev={prev}", f"prev={prev} {coarse}", f"next={follow}", f"next={follow} {coarse}", f"known={known} {mode}", f"known={known} {kindc}", f"tokens={len(parts)}", f"place={'Z' in shape or 'z' in shape}", f"first={first} {shape}", f"first={first} {kindc}")]
+    _, _, head, tail, low, calendar, ordinary, n, known = block
+    return [f"w|{x}" for x in (f"head={head[-3:]}", f"head={head[-2:]}", f"tail={tail[-3:]}", f"tail={tail[-2:]}", f"tail4={tail[-4:]}", f"low={low} {n > 1} {known}", f"calendar={calendar} {n}", f"ordinary={ordinary} {n} {known}")]
 
 
 def _digits(s: str) -> str:
@@ -224,14 +311,14 @@ def _digits(s: str) -> str:
 
 
 def candidates(text: str, names: Names) -> list[Span]:
-    spans: dict[tuple[int, int, str], list[str]] = {}
+    spans: dict[tuple[int, int, str], list[tuple]] = {}
     signs = Signs(text)
 
     def add(start: int, end: int, kind: str, *features: str) -> None:
         key = (start, end, kind)
         if key not in spans:
-            spans[key] = _context(kind, signs, start, end)
-        spans[key] += [f"{kind}|{f}" for f in features]
+            spans[key] = [_left(kind, signs, start), _right(kind, signs, end)]
+        spans[key].append(("F", kind, *features))
 
     for m in _AT_SIGN.finditer(text):
         lo, hi = m.span()
@@ -242,20 +329,21 @@ def candidates(text: str, names: Names) -> list[Span]:
             continue
         while lo and text[lo - 1].isspace():
             lo -= 1
-        local = _BEFORE_AT.search(text, max(0, lo - 80), lo)
-        if local:
+        start = _local_start(text, lo)
+        if start < lo:
             at = text[lo:hi]
-            add(local.start(), domain.end(), "email", "form=plain" if at == "@" else "form=spelled", f"at={at.strip().lower()}", f"dot={'.' in domain.group()}")
-    if regex.search(r"\d", text):
+            sign, dots = at.strip().lower(), " ".join(sorted(set(_DOT_WORD.findall(domain.group().lower()))))
+            add(start, domain.end(), "email", "form=plain" if at == "@" else "form=spelled", f"at={sign}", f"dot={'.' in domain.group()}", f"dots={dots}", f"at={sign} dots={dots}", f"digit={any(map(str.isdigit, text[start:lo]))}")
+    if _DIGIT.search(text):
         for kind, forms in (("phone", PHONE), ("national_id", NATIONAL_ID)):
             for form, rx in forms:
                 if form in _ONLY_WITH and not _ONLY_WITH[form].search(text):
                     continue
                 for m in rx.finditer(text):
                     shape = _digits(m.group())
-                    add(m.start(), m.end(), kind, f"form={form}", f"shape={shape[:24]}", f"head={shape[:2]}", f"first={m.group()[0]}", f"digits={sum(c.isdigit() for c in m.group())}", *([f"part={m.group()[:3].strip('+(')}"] if kind == "phone" else []))
+                    add(m.start(), m.end(), kind, f"form={form}", f"shape={shape}", f"head={shape[:2]}", f"first={m.group()[0]}", f"digits={sum(c.isdigit() for c in m.group())}", *([f"part={m.group()[:3].strip('+(')}"] if kind == "phone" else []))
                     if kind == "phone" and "\n" in m.group():
-                        spans[(m.start(), m.end(), kind)].append("phone|line")
+                        spans[(m.start(), m.end(), kind)].append(("F", kind, "line"))
         german = any(w == "0" and i and (signs.words[i - 1].endswith(_GERMAN_ENDS) or i > 1 and (signs.words[i - 2] in _GERMAN_WORDS or signs.words[i - 1] == "." and signs.words[i - 2].endswith("str"))) for i, w in enumerate(signs.words))
         for form, rx in ADDRESS:
             if form == "german" and not german:
@@ -284,20 +372,26 @@ def candidates(text: str, names: Names) -> list[Span]:
                     if has_town:
                         t = part[m.start("town") - m.start() :]
                         tw = regex.findall(r"[\p{L}\p{M}’'\-]+|\d+", t)
-                        town_shape = " ".join("0" if w[0].isdigit() else "T" if plain(w) in TOWNS else "C" if w[0].isupper() else "c" for w in tw)
-                    add(m.start(), e2, "address", f"form={form}", f"zip={has_zip}", f"town={has_town}", f"unit={bool(m.group('unit')) and e > m.start('unit')}", f"tail={town_shape}", f"form={form} tail={town_shape}", f"more={e2 < m.end()}", f"line={chr(10) in part}", *([f"street={plain(street.group(1))}"] if street else []))
+                        town_shape = " ".join("0" if w[0].isdigit() else "C" if w[0].isupper() else "c" for w in tw)
+                    add(m.start(), e2, "address", f"form={form}", f"zip={has_zip}", f"town={has_town}", f"unit={bool(m.group('unit')) and e > m.start('unit')}", f"tail={town_shape}", f"form={form} tail={town_shape}", f"more={e2 < m.end()}", f"calendar={any(plain(w) in CALENDAR for w in regex.findall(r'[^\W\d]+', part))}", f"line={chr(10) in part}", *([f"street={plain(street.group(1))}"] if street else []))
                     if has_town:
-                        spans[(m.start(), e2, "address")].append(f"address|last={plain(regex.findall(r'[\p{L}\p{N}]+', part)[-1]) if not has_zip else '0'}")
-    _people(text, names, signs, add)
+                        last = plain(regex.findall(r"[\p{L}\p{N}]+", part)[-1])
+                        spans[(m.start(), e2, "address")].append(("F", "address", f"last={'0' if has_zip else 'ordinary' if last in ORDINARY else 'place' if last in PLACE_WORDS else 'other'}"))
+    _people(text, names, signs, spans)
     return [Span(s, e, k, f) for (s, e, k), f in spans.items()]
 
 
-#: Words of towns seen by the fitting grammar; others are told by their form.
-TOWNS = frozenset("port oren calder bay estmark norrby vellin".split())
+_STARTS = frozenset(("C", "g", "f", "b", "m", "Gl", "Fl", "Bl", "Ml", "I", "p"))
 
 
-_CUE_ENDS = frozenset(c.rsplit(" ", 1)[-1] for c in CUES) | TITLES | {"."}
-_STARTS = frozenset(("C", "g", "f", "b", "m", "Gl", "Fl", "Bl", "Ml", "I", "p"))
+class _Latin:
+    """Capital letters of the Latin script; in others a capital alone says too little, names there need an opening or the list."""
+
+    def __contains__(self, letter: str) -> bool:
+        return letter < "ʰ"
+
+
+_LATIN = _Latin()
 
 
 def _class_of(w: str, mode: str, names: Names, known: dict[str, str]) -> str:
@@ -316,7 +410,8 @@ def _class_of(w: str, mode: str, names: Names, known: dict[str, str]) -> str:
         elif p in PARTICLES:
             c = "p"
         elif word[0].isupper() and mode != "U" and not (len(word) > 3 and word.isupper()):
-            c = "Z" if p in PLACE_WORDS else "C"
+            bare = regex.split(r"['’]", p)[0]
+            c = "Z" if p in PLACE_WORDS else "C" if word[0] in _LATIN and p not in TITLES and bare not in ORDINARY and bare not in _ELIDED else "w"
         else:
             c = "z" if mode != "M" and p in PLACE_WORDS else "w"
     if len(known) > 200_000:
@@ -325,41 +420,39 @@ def _class_of(w: str, mode: str, names: Names, known: dict[str, str]) -> str:
     return c
 
 
-def _people(text: str, names: Names, signs: Signs, add) -> None:
-    cased = sum(map(str.isupper, text)), sum(map(str.islower, text))
-    mode = "U" if cased[1] < cased[0] else "L" if cased[0] * 200 < cased[1] and not regex.search(r"(?:^|[.!?]\s+)\p{Lu}\p{Ll}", text) else "M"
-    toks = signs.tokens
+_NAMEISH = frozenset(("C", "g", "f", "b", "m", "w", "Z", "z", "Gl", "Fl", "Bl", "Ml"))
+_SENTENCE = frozenset((".", "!", "?", "\n", ":", "-", "—", "|", "…", ">"))
+
+
+def _people(text: str, names: Names, signs: Signs, spans: dict[tuple[int, int, str], list[tuple]]) -> None:
+    upper, lower = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    mode = "U" if lower < upper else "L" if upper * 200 < lower and not regex.search(r"(?:^|[.!?]\s+)\p{Lu}\p{Ll}", text) else "M"
+    toks, words = signs.tokens, signs.words
     known = names.classes.setdefault(mode, {})
     cls = [known.get(w) if w in known else _class_of(w, mode, names, known) for w, _, _ in toks]
-    # Places right after an opening or a title.
-    cued_at, sw = set(), signs.words
-    for k in range(len(sw)):
-        w0 = sw[k]
-        if w0 not in _CUE_ENDS:
-            continue
-        w1 = sw[k - 1] if k else "^"
-        if w0 in CUES or w0 in TITLES or (w0 == "." and w1 in TITLES) or f"{w1} {w0}" in CUES or f"{sw[k - 2] if k > 1 else '^'} {w1} {w0}" in CUES:
-            cued_at.add(signs.starts[k + 1] if k + 1 < len(sw) else -1)
     n = len(toks)
-    strong = set("gfbm")
-
-    def close(i: int) -> bool:
-        """Token i follows i - 1 with at most one blank between."""
-        return toks[i][1] - toks[i - 1][2] <= 1 and "\n" not in text[toks[i - 1][2] : toks[i][1]] and "\r" not in text[toks[i - 1][2] : toks[i][1]]
-
-    def nameish(c: str) -> bool:
-        return c in ("C", "g", "f", "b", "m", "w", "Z", "z") or c.endswith("l")
-
+    lows = {w for w, _, _ in toks if w.islower()} if mode == "M" else frozenset()
+    at = 0  # the sign a token starts with
     for i in range(n):
         c = cls[i]
-        if c not in _STARTS and not (c == "w" and toks[i][1] in cued_at):
+        start = toks[i][1]
+        if c not in _STARTS and c != "w":
+            continue
+        while signs.starts[at] < start:
+            at += 1
+        cue = _cue(words, at)
+        cued = cue in _STRONG_CUES
+        if c == "w" and not cued:
             continue
+        before = words[at - 1] if at else "^"
         prev = cls[i - 1] if i else ""
-        if i and toks[i][1] == toks[i - 1][2] and (prev == "-" or toks[i - 1][0] in "@_+/#"):
+        if i and start == toks[i - 1][2] and (prev == "-" or toks[i - 1][0] in "@_+/#"):
             continue
-        cued = toks[i][1] in cued_at
+        if i and not (start - toks[i - 1][2] <= 1 and "\n" not in text[toks[i - 1][2] : start] and "\r" not in text[toks[i - 1][2] : start]):
+            prev = "/"
+        first = at == 0 or before in _SENTENCE
         # Spans from i, token by token; a comma may stand once, between family and given name.
-        shape, has, comma, j, known = [], False, False, i, False
+        shape, has, comma, listed, low, j = [], False, False, False, False, i
         while j < n and j - i < MOST_NAME_TOKENS:
             w, s, e = toks[j]
             k = cls[j]
@@ -369,47 +462,44 @@ def _people(text: str, names: Names, signs: Signs, add) -> None:
                     shape.append("-")
                     j += 1
                     continue
-                if k == "," and not comma and gap == 0 and has and j + 1 < n and close(j + 1) and cls[j + 1][:1] in ("g", "C", "b", "I", "w", "G", "B") and len([x for x in shape if x not in "-p"]) <= 2:
+                if k == "," and not comma and gap == 0 and has and j + 1 < n and _close(text, toks, j + 1) and cls[j + 1][:1] in ("g", "C", "b", "I", "w", "G", "B") and len([x for x in shape if x not in "-p"]) <= 2:
                     shape.append(",")
                     comma = True
                     j += 1
                     continue
                 if shape[-1] == "-" and gap:
                     break
-                if shape[-1] not in ("-",) and not close(j):
+                if shape[-1] != "-" and not _close(text, toks, j):
                     break
-            if not (nameish(k) or k in ("I", "i", "p")) or (k == "w" and not (cued and j - i < 3)):
+            if k not in _NAMEISH and k not in ("I", "i", "p") or k == "w" and not (cued and j - i < 3):
                 break
-            if text[s:e].endswith(".") and k not in ("I",) and len(text[s:e]) > 1:
+            stop = k != "I" and e - s > 1 and text[e - 1] == "."
+            if stop:
                 e -= 1
-                stop = True
-            else:
-                stop = False
             shape.append(k)
-            if k in strong or k[:1] in "GFBM" or k in ("C", "w", "Z", "z"):
+            if k in _NAMEISH:
                 has = has or k not in ("Z", "z")
-                known = known or k[:1].lower() in strong
-                nxt = cls[j + 1] if j + 1 < n else ""
-                hyph = j + 1 < n and toks[j + 1][0] in ("-",) and toks[j + 1][1] == toks[j][2] and j + 2 < n and toks[j + 2][1] == toks[j + 1][2]
-                if has and not hyph and (known or cued or k == "C" or "C" in shape):
-                    sh = " ".join(shape)
-                    first = plain(toks[i][0].rstrip("."))
-                    last = plain(text[s:e])
-                    follow = nxt if j + 1 < n and close(j + 1) else "/"
-                    coarse = " ".join("N" if x in ("g", "f", "b", "m", "C") else x for x in shape)
-                    inside = bool(i) and (prev in ("g", "f", "b", "m", "C", "I", "p")) and close(i)
-                    add(toks[i][1], e, "person", f"coarse={coarse}", f"coarse={coarse} cued={cued}", f"inside={inside} {prev if inside else ''}", f"shape={sh}", f"shape={sh} {mode}", f"cued={cued}", f"cued={cued} shape={sh}", f"next={follow}", f"next={follow} shape={sh}", f"known={known}", f"tokens={len(shape)}", f"prev={prev}", f"place={any(x in ('Z', 'z') for x in shape)}")
-                    if first in MONTHS or last in MONTHS:
-                        add(toks[i][1], e, "person", "month", f"month cued={cued} tokens={len(shape)}")
-                    if cls[j + 1 : j + 2] in (["Z"], ["z"]) and close(j + 1):
-                        add(toks[i][1], e, "person", f"before_place={plain(toks[j + 1][0])}", "before_place")
-                    if j + 1 < n and toks[j + 1][0] == "&" or prev == "&":
-                        add(toks[i][1], e, "person", "firm")
+                listed = listed or k[:1].lower() in ("g", "f", "b", "m")
+                if not low and w.rstrip(".").lower() in lows:
+                    low = True
+                hyphen = j + 2 < n and toks[j + 1][0] == "-" and toks[j + 1][1] == toks[j][2] and toks[j + 2][1] == toks[j + 1][2]
+                if has and not hyphen and (listed or cued or "C" in shape):
+                    follow = (cls[j + 1] if toks[j + 1][0] != "&" else "&") if j + 1 < n and _close(text, toks, j + 1) else "/"
+                    head, tail = plain(toks[i][0].rstrip(".")), plain(text[s:e])
+                    block = ("P", "p", " ".join(shape), mode, cue, "&" if before == "&" else prev, follow, listed, first)
+                    own = ("W", "w", head if c in ("C", "w") else "#", tail if k in ("C", "w") else "#", low, head in CALENDAR or tail in CALENDAR, head in ORDINARY or tail in ORDINARY, len(shape), listed)
+                    spans[(start, e, "person")] = [_left("person", signs, start), _right("person", signs, e), block, own]
             if stop:
                 break
             j += 1
 
 
+def _close(text: str, toks: list[tuple[str, int, int]], i: int) -> bool:
+    """Token i follows i - 1 with at most one blank between."""
+    a, b = toks[i - 1][2], toks[i][1]
+    return b == a or b - a == 1 and text[a] not in "\r\n"
+
+
 # ---- the model --------------------------------------------------------------------------------------------------
 
 
@@ -417,14 +507,31 @@ def _lattice(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s.end, s.start, s.kind))
 
 
-def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
+class Scores(dict):
+    """Summed weights of blocks, kept once computed; emptied when large."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, block: tuple) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        weights = self.weights
+        self[block] = score = sum(weights.get(f, 0.0) for f in expand(block))
+        return score
+
+
+def decode(spans: list[Span], weights: Mapping) -> list[Span]:
     """The best-scoring segmentation: spans that don't overlap, the rest outside with score 0."""
     ordered = _lattice(spans)
     ends: list[int] = []
     best: list[float] = [0.0]  # best score using the first i spans
     took: list[bool] = []
     for s in ordered:
-        score = sum(weights.get(f, 0.0) for f in s.features)
+        score = 0.0
+        for f in s.features:
+            score += weights[f]
         before = best[bisect_right(ends, s.start)]
         ends.append(s.end)
         took.append(before + score > best[-1])
@@ -466,20 +573,20 @@ def fit(sentences: Sequence[tuple[str, list[tuple[int, int, str]]]], names: Name
     for text, gold in sentences:
         spans = _lattice(candidates(text, names))
         marked = set(gold)
-        data.append((spans, [1.0 if (s.start, s.end, s.kind) in marked else 0.0 for s in spans]))
+        data.append((spans, [1.0 if (s.start, s.end, s.kind) in marked else 0.0 for s in spans], [[f for b in s.features for f in expand(b)] for s in spans]))
     w: dict[str, float] = {}
     g2: dict[str, float] = {}
     rng = random.Random(seed)
     for _ in range(passes):
         rng.shuffle(data)
-        for spans, truth in data:
+        for spans, truth, features in data:
             if not spans:
                 continue
-            scores = [sum(w.get(f, 0.0) for f in s.features) for s in spans]
+            scores = [sum(w.get(f, 0.0) for f in fs) for fs in features]
             grad: dict[str, float] = {}
-            for s, p, t in zip(spans, _marginals(spans, scores), truth):
+            for fs, p, t in zip(features, _marginals(spans, scores), truth):
                 if abs(t - p) > 1e-4:
-                    for f in s.features:
+                    for f in fs:
                         grad[f] = grad.get(f, 0.0) + t - p
             for f, g in grad.items():
                 g -= shrink * w.get(f, 0.0)
@@ -493,15 +600,24 @@ def fit(sentences: Sequence[tuple[str, list[tuple[int, int, str]]]], names: Name
 class Model:
     names: Names
     weights: dict[str, float]
+    scores: Scores | None = None  # made where it is used
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text:
             return []
-        return [(s.start, s.end, s.kind) for s in decode(candidates(text, self.names), self.weights)]
+        if self.scores is None:
+            self.scores = Scores(self.weights)
+        return [(s.start, s.end, s.kind) for s in decode(candidates(text, self.names), self.scores)]
 
 
 def trained(rows: Sequence[tuple[str, str]], sentences: int = TRAIN_SENTENCES, passes: int = PASSES, seed: int = 7) -> Model:
-    """A model from a list of (name, kind): fitted on made sentences in which half of the names are taken as unknown."""
+    """A model from a list of (name, kind): fitted on made sentences most of whose names are not on it."""
+    return _trained(tuple(rows), sentences, passes, seed)
+
+
+@lru_cache(maxsize=2)
+def _trained(rows: tuple[tuple[str, str], ...], sentences: int, passes: int, seed: int) -> Model:
+    """Kept, so that several queries of a session fit once."""
     names = Names.of(rows)
     return Model(names, fit(train_sentences(rows, sentences, seed), names, passes, seed=seed))
 

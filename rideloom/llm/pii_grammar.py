@@ -1,4 +1,8 @@
-"""Made sentences with known spans, on which the weights of the span model are fitted."""
+"""Made sentences with known spans, on which the weights of the span model are fitted.
+
+Sentences, names, towns and firms are written from general knowledge or put together at random; none is taken from
+the texts the model is applied to. What the model knows of a name list comes in as rows, half of them hidden.
+"""
 
 from __future__ import annotations
 
@@ -8,210 +12,192 @@ from collections.abc import Sequence
 
 import regex
 
-# Openings after which a person's name may follow, as written. Only their last three words or signs count.
-_OPENINGS = [
-    "My name is ", "I am ", "licence holder ", "license holder ", "background check: ", "parcel to ", "Witness: ", "Mr. ", "Ms. ", "Mrs. ", "Mr ", "Ms ", "Dr. ",
-    "I spoke with ", "spoke to ", "forwarded by ", "Hi ", "Hello ", "Dear ", "Good morning ", "Good evening ", "If ", "If\n", "My sister ", "My brother ", "The owner ", "The tenant ", "My neighbour ", "My colleague ",
-    "My partner ", "My wife ", "My husband ", "My father ", "My mother ", "My friend ", "rider=", "driver=", "name=", '"rider": "', '"name": "', "Regards,\n", "Best,\n", "Yours,\n", "Cheers,\n", "Thanks,\n", "Sincerely,\n", "faithfully,\n", "wishes,\n", "you,\n",
-    "— ", '">', "ask for ", "signed by ", "Je m'appelle ", "au nom de ", "Cordialement,\n", "Bonjour ", "à vous,\n", "demandez ", "Me llamo ", "a nombre de ", "Pregunten por ", "Buenos días, ", "Hola ", "saludo,\n", "Atentamente,\n",
-    "Name ist ", "ausgestellt auf ", "Frau ", "Herrn ", "Herr ", "Hallo ", "Grüße\n", "Grüßen\n", "nome é ", "em nome de ", "Olá ", "Olá, ", "Cumprimentos,\n", "Perguntem por ", "Procurem por ",
-]
-_GIVEN_EXTRA = ["Ar", "Be", "Ce", "Da", "El", "Fa", "Gi", "Ha", "Io", "Ka", "Le", "Ma", "No", "Pri", "Ro", "Si", "Ta", "Va", "Xi", "Zu"]
-_GIVEN_TAIL = ["lia", "ya", "rin", "sper", "vid", "wan", "low", "nik", "sha", "tor", "mena", "briel", "nor", "tte"]
-_TOWNS = ["Port Oren", "Calder Bay", "Estmark", "Norrby", "Vellin"]
-_STREETS = ["Quarry", "Granary", "Juniper", "Lantern", "Verity", "Windle", "Thistle", "Heron", "Millrace", "Foundry", "Cobalt", "Pilgrim", "Tamarind", "Saltmarsh", "Cinder", "Briar"]
-_KINDS = ["Street", "St", "Road", "Rd", "Avenue", "Ave", "Boulevard", "Blvd", "Lane", "Way", "Crescent"]
-_PLACES = ["Ashby Gate", "Celeste Row", "Almond Point", "Kingsward Fields", "Marlow Heights", "Beacon Quay", "Old Row", "Juniper Square", "Verity Yards", "Harbor Terrace", "Rosewell Gate", "Larkspur Park", "June Square", "Grace Point"]
-_FIRMS = ["Grace Harbor Cabs", "Rosa Line", "Dawn Motors", "Victor & Dawn Motors", "Kesto Logistics", "Halden Fleet", "Velora Support", "Port Oren Authority", "Pavel & Sons"]
-_DOMAINS = ["lumo.invalid", "kesto.test", "oren-post.example", "mail.velora.example", "corp.halden-fleet.example", "inbox.norrby.example", "ferrymail.test", "postbox.example"]
-# {P} a name, {G} a name or lone given name, {E} {T} {I} {A} the other kinds; the rest is filled without a span.
+# Common given and family names of several languages, for made sentences only.
+_GIVEN = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Karen Charles Sarah Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Steven Emily Andrew Donna Paul Michelle Joshua Carol Kenneth Amanda Kevin Melissa Brian Deborah George Stephanie Edward Rebecca "
+    "Hans Petra Jürgen Sabine Klaus Monika Stefan Ute Wolfgang Heike Lukas Leonie Pierre Nathalie Jean Sylvie Luc Chantal Étienne Margaux José Carmen Francisco Dolores Javier Pilar Álvaro Lucía João Mariana Tiago Beatriz Rui Inês Giovanni Francesca Luca Chiara Marek Agnieszka Piotr Zofia Ivan Olga Dmitri Svetlana "
+    "Ahmed Fatima Omar Layla Yusuf Aisha Raj Priya Arjun Deepa Sanjay Meera Wei Ling Chen Mei Hiroshi Yuki Kenji Sakura Minh Thuy Kwame Ama Chidi Ngozi Lars Astrid Björn Sigrid Eoin Niamh Callum Rhiannon"
+).split()
+_FAMILY = (
+    "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Wilson Anderson Taylor Thomas Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker Nelson Carter Mitchell Roberts Turner Phillips Campbell Parker Evans Edwards Collins Stewart Morris Murphy Cook "
+    "Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Schäfer Koch Bauer Richter Klein Wolf Schröder Neumann Dubois Durand Lefèvre Moreau Laurent Girard Bonnet Rousseau Fernández López Martínez Sánchez Pérez Gómez Jiménez Ruiz Hernández Silva Santos Ferreira Pereira Oliveira Costa Almeida Carvalho Rossi Russo Ferrari Esposito "
+    "Nowak Kowalski Wójcik Novák Ivanov Petrov Sokolova Hansen Johansson Lindberg Nielsen Larsen Virtanen Yılmaz Demir Khan Hussain Patel Sharma Singh Gupta Reddy Wang Li Zhang Liu Tanaka Suzuki Sato Kim Park Nguyen Tran Okafor Mensah Diallo Abebe Cohen Levi Byrne Kelly Sullivan McCarthy"
+).split()
+_PARTS = ("ba be bo da de do el fa fe ga gi ha in jo ka ke la le lo ma me mi na ne no o pa pe ra re ri ro sa se so ta te ti to u va ve wi ya yo za".split(), "n r l s m th nd rs ck".split())
+_ENDS = "son sen man berg stein wood ford well ton by ley worth field ham feld mann bauer hofer ski ska wicz ova ev enko ez es ini elli etti ard eau ier in ura moto ato".split()
+_TOWNS = "Springfield Riverton Ashford Dover Milton Clifton Greenville Salem Burlington Franklin Weston Kingston Newport Oxford Bristol Lakewood Fairview Madison Auburn Linz Ulm Jena Trier Passau Nantes Tours Dijon Amiens Soria Lugo Huelva Braga Évora Leiria".split() + ["San Pedro", "Saint Albans", "West Haven", "Mount Vernon", "Cape Elm", "Bad Homburg", "Fort Wayne", "Port Arthur", "East Grinstead", "New Bern"]
+_STREETS = "Oak Maple Elm Cedar Pine Church Station Mill Bridge Victoria Albert King Queen High Park Washington Lincoln Franklin Chestnut Walnut Sunset Lake River Spring Meadow Forest Union Castle Abbey Orchard Willow Jefferson".split()
+_WAYS = "Street St Road Rd Avenue Ave Boulevard Blvd Lane Ln Way Crescent Drive Dr Court Square Terrace Place".split()
+_PLACES = "Gate Square Point Fields Park Heights Row Quay Yards Terrace Station Bridge Harbour Plaza Mall Market Tower Pier Airport Hospital".split()
+_FIRMS = "Cabs Taxi Motors Logistics Fleet Group Ltd Inc GmbH Services Transport Bank Insurance Support Express".split()
+_DOMAINS = "mail post inbox office web corp home net lab shop travel".split()
+_LAST_LABELS = "com org net de fr es pt co.uk io example test invalid".split()
+_THINGS = "Heavy Late Wrong Broken Missing Final Monthly Annual Premium Basic Early Public Private Regular Daily Weekly Total Extra Free Special Manual Digital General Local Global Standard Quick Slow Cold Warm Wet Empty Cheap".split()
+_NOUNS = "Report Pass Plan Ticket Receipt Refund Invoice Policy Terms Notice Survey Review Update Summary Contract Voucher Schedule Budget Account Manual Statement Traffic Rain Snow Fog Parking Luggage Seats Fares Zones Tips".split()
+# Names that are words as well, in ordinary use.
+_WORDS_TOO = ["Grace period ends {day}.", "Will you be long?", "Will the refund come?", "Mark the date: {day}.", "Hope to hear soon.", "Hope this helps.", "A rose on the table.", "Dawn was cold.", "At dawn the road was empty.", "Faith in the app is gone.", "In May it rained, in June too.", "April was wet.", "Summer prices apply.", "Joy all round.", "Bill me later.", "The bill is wrong.", "Drew a map for the driver.", "Frank words were said.", "Hunter is a brand.", "Victor is a brand of tyres.", "Pat the dog once.", "Sue them, they said.", "Art and music all day.", "Ray of hope.", "Sunny and warm.", "Crystal clear sound.", "Jack up the car first.", "Lance the tyre no more.", "Iris scan failed.", "Ruby red seats.", "Summer is over.", "Chance of rain: {small}%.", "Rich in detail.", "Dean of studies."]
+# {P} a full name, {G} mostly a lone given name, {E} {T} {I} {A} the other kinds; the rest is filled without a span.
 _WITH = [
-    "My name is {P} and my number is {T}.", "My name is {P} and call me on {T}.", "licence holder {P} (born {year}), document no. {I}", "For the background check: {P}, ID {I}.", "Return the parcel to {P}\n{A}", "Return the parcel to {P}, {A}.",
-    "Witness: {P}, {A}.", "The driver, Mr. {P}, asked me to write to {E}.", "The driver, Ms. {P}, asked me to write to {E}.", "I spoke with {P} at {firm}, who promised {money}.", "forwarded by {P} <{E}>", "Hi {G},\n\n", "Dear {G},\n", "Hello {G}, ", "Good morning {G},\n\n",
-    "If {G} is still on shift, tell them to call {T}.", "If {G} is late again, I cancel.", "Can someone ring {T}? My sister {P} has the keys.", "Can someone ring {T}? The owner {P} has the keys.", "Can someone ring {T}? The tenant {P} has the keys.", "{P} rode with us on {day} and forgot a scarf.",
-    "rider={P};contact={T};mail={E};ride={trip}", '{"rider": "{P}", "phone": "{T}", "ticket": "{trip}"}', '<a href="mailto:{E}">{P}</a>', "Regards,\n{P}", "Best,\n{P}\n", "Yours,\n{P}", "Kind regards,\n{P}\n{E}", "— {P}, {firm}\n{E}", "\n— {P}, {firm}", "Text {T} or mail {E} if the bag turns up.",
-    "I live at {A}; the pin drops two streets away.", "Pick me up at {A}, please.", "Pick me up at {A}, as always.", "Pick me up at {A}, thanks.", "Bank letter goes to {A}; questions to {T}.", "Please send the receipt to {E} as well.", "Please send the receipt to {E} instead.", "Here's my social number {I} since the form rejects it.",
-    "If {G}'s car is full, call {T}.", "Ask for {P} at the desk.", "{P} left the door open.", "{G} was kind and patient.", "My brother {P} lost a phone.", "Signed, {P}", "cc {P} <{E}>", "Call {T} after noon.", "Our number: {T}.", "Phone: {T}",
-    "Je m'appelle {P}, joignable au {T}.", "Pièce d'identité {I}, au nom de {P}.", "Envoyez le reçu à {E}, s'il vous plaît.", "Venez me chercher au {F}, merci.", "Cordialement,\n{P}", "Bonjour {G},\n",
-    "Me llamo {P} y mi teléfono es {T}.", "Mi documento es {I}, a nombre de {P}.", "Envíen la factura a {E}, por favor.", "Recójanme en {S}, gracias.", "Pregunten por {P} o escriban a {E}.", "Un saludo,\n{P}", "Buenos días, {G}:\n", "Hola {G}:\n",
-    "Mein Name ist {P}, Telefon {T}.", "Rückruf an Frau {P} unter {T} erbeten.", "Rückruf an Herrn {P} unter {T} erbeten.", "Ausweisnummer {I}, ausgestellt auf {P}.", "Rechnung bitte an {E} schicken.", "Abholung: {D}.", "Viele Grüße\n{P}", "Mit freundlichen Grüßen\n{P}", "Hallo {G},\n", "Sehr geehrte Frau {P},\n",
-    "O meu nome é {P} e o telefone é {T}.", "Documento {I}, em nome de {P}.", "Enviem o recibo para {E}, por favor.", "Venham buscar-me a {Q}, obrigado.", "Cumprimentos,\n{P}", "Olá {G},\n", "Perguntem por {P} ou escrevam para {E}.",
-]
+    "My name is {P}.", "This is {P} calling about {trip}.", "I am {P} and I live at {A}.", "Contact: {P}, {T}", "Passenger: {P}", "Driver: {P}\nVehicle: {plate}", "Name: {P}\nEmail: {E}\nPhone: {T}", "Attn: {P}\n{A}", "To {P}: please answer.", "{P} called us at {clock}.", "{P} left a bag on the back seat.", "{P} wrote that the fare was wrong.",
+    "Yesterday {P} waited {small} minutes at {place}.", "According to {P}, nothing was found.", "We met {P} near {place}.", "I spoke to {P} from {firm}.", "We spoke with {P} about {trip}.", "Ask for {P} at the desk.", "The booking belongs to {P}.", "It was reported by {P} on {day}.", "Signed by {P}", "Signed, {P}", "cc: {P} <{E}>", "{P} <{E}> wrote:", "From: {P} <{E}>",
+    "Hi {G},\n", "Hello {G}, ", "Dear {G},\n\n", "Hey {G}! ", "Good morning {G},\n", "Good evening {G}, ", "Thanks, {G}", "Thank you {G} for the quick answer.", "Regards,\n{P}", "Best,\n{G}", "Kind regards,\n{P}\n{T}", "Sincerely,\n{P}", "Cheers,\n{G}\n", "Yours faithfully,\n{P}", "Thank you,\n{P}", "\n— {P}", "\n- {G}", "— {P}, {firm}",
+    "My {kin} {P} has the keys.", "My {kin} {G} will wait outside.", "her {kin}, {P}, can confirm.", "The {role} {P} was not on time.", "the {role}, {title} {P}, drove too fast.", "{title} {P} will sign.", "Please call {title} {F} back.", "{title} {F} did not answer.", "Witness {P} saw the crash.", "If {G} is late, ring {T}.", "When {G} arrived, the car was gone.", "Is {G} working today?", "Unless {G} comes, we leave.", "Because {G} was ill, nobody drove.", "Wait until {G} gets here.", "If {G} is there, ask for help.", "If {G} still works there, tell me.", "Yours,\n{G}", "Yours,\n{P}", "Best wishes,\n{G}", "Love,\n{G}", "{P} drove with us before.", "{P} travelled with us.", "They blamed {P} for the delay.", "We paid {P} in cash.", "I saw {P} near {place}.", "Nobody believed {P} at first.", "We all know {P} well.", "I thanked {P} and left.", "The bag of {P} was open.", "Ich traf {P} gestern.", "Wir haben {P} gesehen.", "J'ai vu {P} hier.", "Vi a {P} ayer.", "Encontrei {P} ontem.", "Text {T} or mail {E} if it turns up.", "Call {T} or write to {E} when done.", "mail {E} if you find it",
+    "{G} was friendly and drove well.", "{G} never came.", "{G} said it was fine.", "{G}'s car was clean.", "{P}'s phone is {T}.", "I gave {G} five stars.", "Could {G} call me back?", "Then {G} told us to wait.", "{P} and {P} shared the ride.", "Riders: {P}; {P}", "{P} ({E})", "{P}, {A}", "{P}, born {day}", "rider={P};phone={T};mail={E}", '{{"name": "{P}", "phone": "{T}"}}', "user: {P} | tel: {T}",
+    '<a href="mailto:{E}">{P}</a>', "Write to {E} please.", "Send it to {E}.", "My address is {E}.", "e-mail: {E}", "Mail me ({E}) or call {T}.", "Reach me at {E}", "You can reach me at {T}.", "Call me on {T}.", "Call {T} if there is trouble.", "Tel. {T}", "Phone: {T}", "My number is {T}.", "Ring {T} or text {T}.", "Fax {T}", "Contact {T} or {E}.", "mobile {T}, home {T}", "text {T} when outside", "WhatsApp: {T}",
+    "My social security number is {I}.", "SSN {I}", "ID {I}", "ID no. {I}, {P}", "Document number: {I}", "National ID: {I}", "passport or identity number {I}", "Identity card {I} was checked.", "Tax number {I}.", "{P}, ID {I}", "license of {P}, document {I}", "insurance number {I}", "their id number ({I}) is on file",
+    "I live at {A}.", "Pick me up at {A}, please.", "Send the letter to {A}.", "Deliver to {A}", "Address: {A}", "My home is {A}; ring twice.", "Drop-off was {A}.", "Moved from {A} to {A}.", "Bill to:\n{P}\n{A}", "Ship it to {P}\n{A}", "Our office is at {A}.", "The garage at {A} is closed.", "we waited outside {A} for an hour", "Post goes to {A}; questions to {T}.", "The driver came to {A} by mistake.",
+    "Mein Name ist {P}.", "Ich heiße {P}, Telefon {T}.", "Ich bin {P} aus {town}.", "Sehr geehrte Frau {F},\n", "Sehr geehrter Herr {F},\n", "Hallo {G},\n", "Liebe {G},\n", "Viele Grüße\n{P}", "Mit freundlichen Grüßen\n{P}", "Herr {P} hat angerufen.", "Frau {F} wartet in {place}.", "Bitte an {E} schreiben.", "Rufen Sie {T} an.", "Ausweis {I} von {P}", "Ich wohne in der {D}.", "Adresse: {D}", "Abholung am {D}, bitte.", "Meine {kin} {P} zahlt.", "Der Fahrer {P} war freundlich.", "Rechnung an {P}, {D}",
+    "Je m'appelle {P}.", "Je suis {P}, joignable au {T}.", "Bonjour {G},\n", "Chère {G},\n", "Cordialement,\n{P}", "Madame {F} attend une réponse.", "M. {P} a signé.", "Monsieur {P} habite {R}.", "Écrivez à {E}.", "Appelez le {T}.", "Pièce d'identité {I}", "Au nom de {P}", "J'habite {R}.", "Venez au {R}, merci.", "Mon amie {P} a payé.", "Le chauffeur {P} était en retard.", "Demandez {P} à l'accueil.",
+    "Me llamo {P}.", "Soy {P} y mi teléfono es {T}.", "Hola {G}:\n", "Estimada {G},\n", "Un saludo,\n{P}", "Atentamente,\n{P}", "La señora {F} no contesta.", "El señor {P} firmó.", "Escriban a {E}.", "Llamen al {T}.", "Mi DNI es {I}.", "A nombre de {P}", "Vivo en {S}.", "Recójanme en {S}, por favor.", "Mi hermana {P} tiene las llaves.", "El conductor {P} fue amable.", "Pregunten por {P}.",
+    "Chamo-me {P}.", "O meu nome é {P} e moro na {Q}.", "Olá {G},\n", "Cara {G},\n", "Cumprimentos,\n{P}", "Atenciosamente,\n{P}", "A senhora {F} ligou.", "O senhor {P} assinou.", "Escrevam para {E}.", "Liguem para {T}.", "Documento {I}", "Em nome de {P}", "Moro na {Q}.", "Venham à {Q}, por favor.", "A minha irmã {P} pagou.", "O motorista {P} foi simpático.", "Perguntem por {P}.",
+]
 _WITHOUT = [
-    "When May turned to June, {place} had {big} pick-ups, up from {big}.", "I'd like to upgrade my commuter plan before {day}.", "¿Podrían reabrir {trip} antes del {day}?", "Merci de vérifier {trip} avant le {day}.", "Bitte prüfen Sie {trip} bis zum {day}.", "Invoice {trip} lists {big} rides for {firm}.",
-    "Attached is the statement for {day}: {big} trips, net {money}.", "Tips are paid out on {day} and don't change your rating.", "next inspection due {day}.", "Steps: opened the app, typed {place}, pressed confirm, got error {small}.", "Surge showed x7.5 in {place} although the streets were empty.",
-    "Route went via {street} instead of the ring road, which cost me {small} min.", "He took the turn at {street} and {street}, then laughed.", "At {clock} vehicle {plate} clipped a bollard at {street}; speed about {small} km/h.", "Our team at {firm} can't confirm the receipt.", "They'll close Pier {small} on {day}, so pick-ups shift to {place}.",
-    "Umweg über {street}, Straßenbauarbeiten, {small} Minuten Zeitverlust.", "Détour par {street} : {small} minutes perdues.", "Ruta por {street} en lugar del túnel; perdí {small} minutos.", "Esperamos cerca de {place} hasta las {clock} y no vino nadie.", "Wir warteten bei {place} bis {clock}, es kam niemand.", "Nous avons attendu près de {place} jusqu'à {clock}.",
-    "Follow @fleetdesk for the {clock} road closures.", "backfill finished @ {clock}, {big} rows, {small} retries, ETA==wrong", "stuck @ Pier {small}, {small} cars ahead", "Toll at {place} was billed {small} times: {money}, {money} and {money}.", "The bot closed {trip} without an answer.", "Wheelchair ramp worked at Level -{small}; crew noted {trip}.",
-    "pax no show, cancelling {trip}", "I was charged {money} for {small} blocks?!", "Odometer reads {big} km, next brake check due {day}.", "The shuttle pulled in {small} minutes after the promised time at Bay {small}.", "GPS multipath near {place}; double-check arrivals there until {clock}.", "To change a saved place, open Settings > Places and hold the entry.",
-    "Driver knew every shortcut around {place}.", "take {street}, the tunnel's jammed", "vehicle registered with {firm}, including substitutes.", "We queued near {place} until {clock}, and nobody came.", "The tracker lost signal at {coord} and recovered near {place}.", "who has {plate}?? its blocking the charger", "Heavy rain over {town}; expect slow traffic on {street} till {clock}.",
-    "Please refund {trip} today.", "We'd suggest moving the pilot in {town} to {day}.", "Camera footage saved under {trip}, clip length {small} s.", "The ride was smooth, the seats were clean, and I'd walk again.", "Second card declined, third one worked.", "My violin case is surely still on the back seat of {plate}.", "Battery at {small}% and the map drifted towards {coord}.", "ride {trip} is marked completed, but the meter kept running.",
-    "Dear Velora Support,\n\n", "Hello team,\n", "Hi there 🚕\n", "Hi there ☔ Note: ", "Sehr geehrtes Team,\n", "To whom it may concern,\n", "Dear {firm},\n", "Hallo zusammen,\n", "Bonjour à tous,\n", "Olá equipa,\n", "Hi all,\n", "hey\n\n", "I'm not angry 🙏 but {money} for {small} blocks?!", "Regards,\nthe night crew",
-    "Meanwhile, It's the {small}th time this month.", "However, The car in {place} was clean.", "Again, Please refund {trip} today.", "Sadly, Nobody from {firm} came.", "Heavy fog over {town}; expect slow traffic on {street} till {clock}.", "Where the rider cancels, a fee of {money} may apply; see § 4.4.",
-    "In August we waited; in May it rained.", "Dawn broke over {place}.", "Grace period ends {day}.", "A rose on the seat, thanks.", "Drivers see your rating rounded to one decimal.", "If the pin isn't where you stand, drag it there.", "If April is wet, expect delays.", "The car in {place} was clean.", "Crew at {street} said nothing.", "Version {small}.{small}.{small} crashed after the update.",
-]
+    "The car was clean and the trip short.", "{thing} {noun} for {day}", "The {thing} {noun} is attached.", "{thing} {noun}", "{place} was closed at {clock}.", "We waited near {place}.", "Traffic on {street} was slow.", "Turn left at {street}, then right.", "The route via {street} costs {money}.", "They turned from {street} into {street}.", "{firm} raised prices in {month}.", "Our contract with {firm} ends {day}.", "{firm} did not answer.",
+    "Dear {firm},\n", "Dear team,\n", "Hello everyone,\n", "Hi there, ", "To whom it may concern,\n", "Dear Sir or Madam,\n", "Regards,\n{firm}", "Thanks,\nThe {firm} team", "The charge was {money}.", "Refund {money} for {trip}.", "Ticket {trip} is open.", "Booking {trip} was cancelled.", "Please check {trip}.", "Order {number} shipped on {day}.", "Invoice {number}: {money}", "Reference {trip}", "Ride {trip}, plate {plate}", "Plate {plate}, {small} km/h",
+    "Follow {handle} for news.", "see {handle}", "Meet at {clock}.", "Error {number} at {clock}", "Version {small}.{small}.{small} is out.", "Position {coord}", "The {month} numbers: {number} trips.", "{number} trips, {small} complaints", "Score {small}/{small}", "In {town} it rained all {weekday}.", "{town} and {town} get new zones.", "Drivers in {town} earn more.", "The train to {town} was late.", "On {weekday} we saw {small} cars.", "{weekday}, {day}: no service", "{month} was busy.", "Surge x{small}.{small} at {place}",
+    "New rules from {day}.", "Card ending {small}{small} failed.", "Pin {small}{small}{small}{small} is wrong.", "the app crashed again", "Charged twice: {money} and {money}", "Why is {place} not a zone?", "How do I reset it?", "Zone {small} covers {place} and {street}.", "The {place} pick-up moved.", "Gate {small}, Bay {small}", "From {place} to {place} in {small} min", "{thing} {noun} and {thing} {noun}", "Terms of Service", "Privacy Policy", "Lost and Found", "{noun} {number}", "ETA {clock}", "{number}, {number}, {number}",
+    "Since {month}, {place} has been closed.", "By {month}, {firm} had {number} cars.", "From {month} to {month}, {place} was full.", "Rain over {town}; slow roads around {town}.", "Storm in {town}, no buses.", "Roads around {town} are icy.", "near {town}", "via {town}", "Hello,\n\n", "Hi,\n", "Hallo,\n", "Hola,\n", "Bonjour,\n", "Olá,\n\n", "Bom dia, ", "Good morning, ", "Buenas tardes, ", "Madame, Monsieur,\n", "Sir, Madam,\n",
+    "[{clock}] driver: on my way", "[{clock}] rider: where are you now", "rider: same here, thanks", "driver: ok see you", "rider: quite late again", "driver: cannot stop there", "support> checking now", "passenger: still waiting outside", "({clock}) rider: all good", "({clock}) driver: stuck in traffic", "rider: die Fahrt war gut", "driver: merci de patienter", "rider: el coche no llega", "I've had enough.", "I'm not happy with it.", "I'd like a refund; I've waited long enough.",
+    "{noun} went through {street}.", "{noun} took {small} minutes.", "{thing} service at {place} again.", "Crew finished at {clock}.", "Nobody from {firm} came.", "{firm} will answer on {day}.", "{firm} will check it.", "a passenger left the window open", "the rider cancels before the ride", "the driver takes the tunnel", "Lluvia en {town}.", "Ruta cerrada por obras en {street}.", "Regen in {town}.", "Chuva em {town}.", "Prices rise on {day}.", "Seats were wet.", "- {noun} missing\n- {noun} wrong", "Steps: open the app, type {place}, press go.", "Detour along {street}, {small} minutes lost.", "Toll at {place} was billed twice.", "Stop at {place} was skipped.", "Lights at {place} were out.", "Work at {place} point started.", "bis zum {day}", "vom {day} bis zum {day}", "am {weekday} um {clock}", "bis zum {month} {small}", "Umleitung über {street}, {noun}, {small} Minuten.", "Desvio por {street}: {small} minutos.", "Cobraram {money} a mais.", "Cobraron {money} de más.", "Mir wurden {money} berechnet.", "Nous avons attendu {small} minutes.",
+    "Das Auto war sauber.", "Die Fahrt über {street} dauerte {small} Minuten.", "Sehr geehrte Damen und Herren,\n", "Hallo zusammen,\n", "Rechnung {number} vom {day}", "Bitte {trip} prüfen.", "Am {weekday} ist {place} gesperrt.", "Mit freundlichen Grüßen\nIhr {firm} Team", "La voiture était propre.", "Bonjour à tous,\n", "Le trajet {trip} a coûté {money}.", "Veuillez vérifier {trip}.", "Cordialement,\nL'équipe {firm}", "Merci de rembourser {money}.",
+    "El coche estaba limpio.", "Hola a todos:\n", "Revisen {trip}, por favor.", "El viaje costó {money}.", "Estimado equipo:\n", "Atentamente,\nEl equipo de {firm}", "O carro estava limpo.", "Olá a todos,\n", "Verifiquem {trip}, por favor.", "A viagem custou {money}.", "Cumprimentos,\nA equipa {firm}", "Caros senhores,\n", "{firm} & Sons closed.", "The {place} Hotel is full.", "The University of {town} pays.", "Radio {thing}, {town}",
+]
 
 
 def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", unicodedata.normalize("NFC", word).casefold()) if not unicodedata.combining(c))
 
 
-def _cue(opening: str) -> str:
-    words = ["\n" if w[0] in "\r\n" else _plain(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+|[\r\n]+|[^\s\p{L}\p{M}\p{N}]", opening)]
-    return " ".join(words[-3:])
-
-
-CUES = frozenset(_cue(o) for o in _OPENINGS)
-
-
 class _Maker:
+    """Draws names and numbers; the forms of numbers are those of common public formats."""
+
     def __init__(self, rows: Sequence[tuple[str, str]], seed: int) -> None:
         self.r = random.Random(seed)
-        self.given = sorted({n for n, k in rows if k == "given"}) or ["Ann"]
-        self.family = sorted({n for n, k in rows if k == "family"}) or ["Smith"]
+        self.given = sorted({n for n, k in rows if k == "given"}) or _GIVEN
+        self.family = sorted({n for n, k in rows if k == "family"}) or _FAMILY
 
-    def g(self) -> str:
+    def n(self, k: int) -> str:
+        return "".join(self.r.choice("0123456789") for _ in range(k))
+
+    def made(self) -> str:
+        """A word of syllables: a name no list holds."""
         r = self.r
-        return r.choice(self.given) if r.random() < 0.6 else r.choice(_GIVEN_EXTRA) + r.choice(_GIVEN_TAIL)
+        return ("".join(r.choice(_PARTS[0]) + (r.choice(_PARTS[1]) if r.random() < 0.4 else "") for _ in range(r.randint(1, 2))) + (r.choice(_ENDS) if r.random() < 0.6 else r.choice(_PARTS[0]))).capitalize()
+
+    def g(self) -> str:
+        x = self.r.random()
+        return self.r.choice(self.given) if x < 0.25 else self.r.choice(_GIVEN) if x < 0.75 else self.made()
 
     def f(self) -> str:
-        r = self.r
-        if r.random() < 0.65:
-            return r.choice(self.family)
-        a, b = r.choice(self.family), r.choice(self.family)  # a beginning and an ending of two known ones
-        k = r.randint(3, 4)
-        return a[:k] + b[k:] if r.random() < 0.8 else a[:k] + r.choice(["ovar", "imer", "asto", "uelle"])
+        r, x = self.r, self.r.random()
+        fam = r.choice(self.family) if x < 0.25 else r.choice(_FAMILY) if x < 0.65 else self.made()
+        y = r.random()
+        return r.choice(["O'", "al-", "Mc"]) + fam if y < 0.05 else r.choice(["da", "de", "van", "von", "di", "van der", "dos"]) + " " + fam if y < 0.11 else fam + "-" + r.choice(_FAMILY) if y < 0.16 else fam
 
     def person(self) -> str:
         r, x = self.r, self.r.random()
-        fam = self.f()
-        y = r.random()
-        if y < 0.06:
-            fam = r.choice(["O'", "al-", "Mc"]) + fam
-        elif y < 0.12:
-            fam = r.choice(["da", "de", "van", "von", "di"]) + " " + fam
-        elif y < 0.18:
-            fam += "-" + self.f()
+        g, f, i = self.g(), self.f(), r.choice("ABCDEFGHJKLMNPRSTUVWYZ")
+        if x < 0.52:
+            return f"{g} {f}"
         if x < 0.55:
-            return f"{self.g()} {fam}"
-        if x < 0.67:
-            return f"{self.g()} {r.choice('ABCDEFGHJKLMNPRSTVWYZ')}. {fam}"
-        if x < 0.79:
-            return f"{r.choice('ABCDEFGHJKLMNPRSTUVWXYZ')}. {fam}"
-        if x < 0.88:
-            return f"{self.g()}-{self.g()} {fam}"
-        return f"{fam}, {self.g()}"
+            return f"{i}. {r.choice('ABCDEFGHJKLMNPRST')}. {f}"
+        return f"{g} {i}. {f}" if x < 0.65 else f"{i}. {f}" if x < 0.75 else f"{g}-{self.g()} {f}" if x < 0.82 else f"{g} {self.g()} {f}" if x < 0.87 else f"{g} {f} {self.f()}" if x < 0.91 else f"{f}, {g}"
 
     def email(self) -> str:
         r = self.r
-        g, f = _plain(self.g()) if r.random() < 0.7 else self.g().lower(), self.f().lower()
-        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{f}{r.randint(1, 99)}", f"{g}.{f}+rides"])
-        dom, x = r.choice(_DOMAINS), r.random()
-        if x < 0.62:
+        g, f = _plain(self.g()), _plain(self.f()).replace(" ", "").replace("'", "")
+        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{f}{r.randint(1, 99)}", f"{g}.{f}+{r.choice(['app', 'taxi', 'news'])}", g])
+        dom = r.choice(_DOMAINS) + (("-" if r.random() < 0.4 else ".") + r.choice(_DOMAINS) if r.random() < 0.4 else str(r.randint(1, 9)) if r.random() < 0.2 else "") + "." + r.choice(_LAST_LABELS)
+        x = r.random()
+        if x < 0.5:
             return f"{local}@{dom}"
-        if x < 0.72:
+        if x < 0.65:
             return f"{local} @ {dom}"
-        if x < 0.8:
-            return f"{local}[at]{dom.replace('.', '[dot]')}"
-        if x < 0.86:
-            return f"{local} (at) {dom}"
-        return f"{local.replace('.', ' dot ')} at {dom.replace('.', ' dot ')}"
+        at, dot = r.choice([("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), ("(at)", "(dot)"), (" (at) ", " (dot) ")])
+        return local.replace(".", dot if " dot" in dot else ".") + at + dom.replace(".", dot)
 
     def phone(self) -> str:
-        r = self.r
-        n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-        a, b = r.choice(["212", "303", "415", "617", "708", "850"]), "01" + n(2)
-        s = r.choice(["-", " ", "."])
-        return r.choice([f"+1 ({a}) 555 {b}", f"+1{a}555{b}", f"({a}) 555-{b}", f"{a}{s}555{s}{b}", f"555-{b}", f"1-{a}-555-{b}", f"{a} 555 {b[:2]} {b[2:]}", f"+44 7700 900{n(3)}", f"07700900{n(3)}", f"07700 900{n(3)}", f"+44 (0)20 7946 0{n(3)}", f"020 7946 0{n(3)}", f"+33 1 99 00 {n(2)} {n(2)}", f"01{s}99{s}00{s}{n(2)}{s}{n(2)}", f"030/23125 {n(3)}", f"(030) 23125-{n(3)}", f"+49 30 23125{n(3)}", f"0491 570 {n(3)}", f"+61 491 570 {n(3)}", f"1{a}555{b}", f"{a}555{b}"])
+        r, n = self.r, self.n
+        a, s = r.choice("23456789") + n(2), r.choice(["-", " ", "."])
+        return r.choice([f"+1 ({a}) {n(3)} {n(4)}", f"+1{a}{n(7)}", f"({a}) {r.choice('2345')}{n(2)}-{n(4)}", f"{a}{s}{r.choice('2345')}{n(2)}{s}{n(4)}", f"{r.choice('2345')}{n(2)}-{n(4)}", f"1-{a}-{r.choice('2345')}{n(2)}-{n(4)}", f"{a} {r.choice('2345')}{n(2)} {n(2)} {n(2)}", f"+44 7{n(3)} {n(6)}", f"07{n(9)}", f"07{n(3)} {n(6)}", f"+44 (0)20 {n(4)} {n(4)}", f"020 {n(4)} {n(4)}", f"+49 30 {n(6)}", f"030/{n(7)}", f"030 {n(7)}", f"+49 (0)151 {n(8)}", f"0151 {n(8)}", f"+33 {r.choice('1267')} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{r.choice('1267')} {n(2)} {n(2)} {n(2)} {n(2)}", f"0{r.choice('1267')}.{n(2)}.{n(2)}.{n(2)}.{n(2)}", f"+34 6{n(2)} {n(3)} {n(3)}", f"+351 9{n(2)} {n(3)} {n(3)}", f"+351 21 {n(3)} {n(4)}", f"{a}{r.choice('2345')}{n(6)}"])
 
     def ident(self) -> str:
-        r = self.r
-        n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-        L = r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ")
-        s = r.choice(["-", " ", ""])
-        return r.choice([f"9{n(2)}{s}{n(2)}{s}{n(4)}", f"9{n(2)}-{n(2)}-{n(4)}", f"QQ{n(6)}{L}", f"QQ {n(2)} {n(2)} {n(2)} {L}", f"KDI {n(4)} {n(4)} {n(1)}", f"X-{n(7)}-{L}", f"X{n(7)}{L}", f"{n(8)}-{L}", f"{n(8)}{L}"])
+        r, n = self.r, self.n
+        letter, s = r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ"), r.choice(["-", " ", ""])
+        two = letter + r.choice("ABCEGHJKLMNPRSTWXYZ")
+        return r.choice([f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)} {n(2)} {n(4)}", f"{n(9)}", f"{two}{n(6)}{letter}", f"{two} {n(2)} {n(2)} {n(2)} {letter}", f"{two}{letter} {n(4)} {n(4)} {n(1)}", f"X{s}{n(7)}{s}{letter}", f"Y{s}{n(7)}{s}{letter}", f"{n(8)}{s}{letter}", f"{n(8)}-{letter}"])
 
     def town(self) -> str:
+        r, x = self.r, self.r.random()
+        if x < 0.5:
+            return r.choice(_TOWNS)
+        return self.made() if x < 0.7 else f"{self.made()} {r.choice(['Bay', 'Falls', 'Beach', 'Hills', 'Springs', 'Creek', 'Grove', 'Harbour', 'Heath'])}" if x < 0.87 else f"{r.choice(['Port', 'Saint', 'New', 'Fort', 'Mount', 'Santa', 'Bad', 'Upper'])} {self.made()}"
+
+    def street(self) -> str:
         r = self.r
-        t = r.choice(_TOWNS) if r.random() < 0.85 else r.choice(["Aldmoor", "Sant Crane", "Brookhaven", "Lower Fenn"])
-        return t
+        return (r.choice(_STREETS) if r.random() < 0.6 else self.made()) + " " + r.choice(_WAYS)
 
     def address(self) -> str:
         r = self.r
-        if r.random() < 0.13:
-            return f"{r.choice(['PO Box', 'P.O. Box'])} {r.randint(1, 9999)}, {self.town()} 20{r.randint(100, 999)}"
-        a = f"{r.randint(1, 9000)} {r.choice(['', '', 'N. ', 'Old '])}{r.choice(_STREETS)} {r.choice(_KINDS)}"
+        tail = lambda: r.choice([", ", ", ", "\n"]) + self.town() + (f" {self.n(5)}" if r.random() < 0.7 else "")
+        if r.random() < 0.12:
+            return f"{r.choice(['PO Box', 'P.O. Box', 'P. O. Box'])} {r.randint(1, 9999)}" + (tail() if r.random() < 0.8 else "")
+        a = f"{r.randint(1, 9000)} {r.choice(['', '', '', 'N. ', 'Old ', 'West '])}{self.street()}"
         x = r.random()
-        a += f", Apt {r.randint(1, 30)}{r.choice('ABC')}" if x < 0.2 else f", Unit {r.randint(1, 9)}" if x < 0.4 else f" #{r.randint(1, 60)}" if x < 0.55 else ""
-        x = r.random()
-        if x < 0.45:
-            a += r.choice([", ", "\n"]) + self.town() + f" 20{r.randint(100, 999)}"
-        elif x < 0.6:
-            a += ", " + self.town()
-        return a
+        a += f", Apt {r.randint(1, 30)}{r.choice(['', 'B'])}" if x < 0.15 else f", Unit {r.randint(1, 9)}" if x < 0.3 else f" #{r.randint(1, 60)}" if x < 0.4 else f", Suite {r.randint(1, 900)}" if x < 0.45 else ""
+        return a + (tail() if r.random() < 0.6 else "")
 
     def zipped(self, a: str) -> str:
-        return a + (f", 20{self.r.randint(100, 999)} {self.town()}" if self.r.random() < 0.45 else "")
+        return a + (f"{self.r.choice([', ', ', ', chr(10)])}{self.n(5)} {self.town()}" if self.r.random() < 0.5 else "")
 
     def french(self) -> str:
         r = self.r
-        return self.zipped(f"{r.randint(1, 199)}{r.choice(['', ' bis', ','])} {r.choice(['avenue du Moulin', 'rue des Lanternes', 'quai des Hérons', 'allée du Chardon', 'place de la Gare'])}")
+        return self.zipped(f"{r.randint(1, 199)}{r.choice(['', '', ' bis', ',', ' ter'])} {r.choice(['rue', 'avenue', 'boulevard', 'place', 'quai', 'allée', 'chemin'])} {r.choice(['de la ', 'du ', 'des ', 'de ', ''])}{r.choice(_FAMILY[47:60] + ['Gare', 'Paix', 'Moulins', 'Écoles'])}")
 
     def spanish(self) -> str:
         r = self.r
-        return self.zipped(f"{r.choice(['Avenida Salinas', 'Paseo del Molino', 'Plaza Cobre', 'C/ Almendro', 'Calle Farol'])}{r.choice([' nº', ',', ''])} {r.randint(1, 199)}{r.choice(['', ', 3º B'])}")
+        return self.zipped(f"{r.choice(['Calle', 'C/', 'Avenida', 'Plaza', 'Paseo', 'Avda.'])} {r.choice(['', 'de la ', 'del ', 'de '])}{r.choice(_FAMILY[64:74] + ['Mayor', 'Luna', 'Sol', 'Real'])}{r.choice([' nº', ',', ''])} {r.randint(1, 199)}{r.choice(['', ', 3º B', ', 1º', ', bajo'])}")
 
     def portuguese(self) -> str:
         r = self.r
-        return self.zipped(f"{r.choice(['Rua das Garças', 'Avenida do Moinho', 'Travessa do Cobre'])}, {r.randint(1, 99)}{r.choice(['', ', 2º Esq'])}")
+        return self.zipped(f"{r.choice(['Rua', 'Avenida', 'Travessa', 'Largo', 'Praça'])} {r.choice(['', 'das ', 'do ', 'da '])}{r.choice(_FAMILY[72:80] + ['Flores', 'Liberdade', 'Carmo'])}{r.choice([', ', ' ', ' nº '])}{r.randint(1, 99)}{r.choice(['', ', 2º Esq', ', 1º Dto'])}")
 
     def german(self) -> str:
         r = self.r
-        return self.zipped(f"{r.choice(['Mühlenweg', 'Am Speicher', 'Kupferstraße', 'Reihergasse', 'Distelplatz', 'Lindenkamp', 'Fuchshof'])} {r.randint(1, 120)}{r.choice(['', 'a', ' b'])}")
-
-    def day(self) -> str:
-        r = self.r
-        m, d = r.choice(["April", "May", "June", "July"]), r.randint(1, 28)
-        return r.choice([f"{m} {d}", f"{d} {m}", f"{r.randint(1, 12)}/{d}", f"20{r.randint(17, 23)}-{r.randint(1, 12):02d}-{d:02d}"])
+        return self.zipped(f"{r.choice(['Haupt', 'Bahnhof', 'Garten', 'Schul', 'Berg', 'Linden', 'Kirch', 'Wald', 'Rosen'])}{r.choice(['straße', 'strasse', 'weg', 'gasse', 'platz', 'allee', 'str.'])} {r.randint(1, 120)}{r.choice(['', 'a', ' b'])}" if r.random() < 0.8 else f"{r.choice(['Am', 'Im', 'An der', 'Zum'])} {r.choice(['Markt', 'Brunnen', 'Mühle', 'Hafen'])} {r.randint(1, 60)}")
 
     def filler(self, slot: str) -> str:
-        r = self.r
-        n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-        if slot == "place":
-            return r.choice(_PLACES)
-        if slot == "firm":
-            return r.choice(_FIRMS)
-        if slot == "street":
-            return f"{r.choice(_STREETS)} {r.choice(_KINDS)}"
-        if slot == "town":
-            return r.choice(_TOWNS)
-        if slot == "day":
-            return self.day()
-        if slot == "trip":
-            return r.choice([f"RD-{n(4)}-{n(6)}", f"TCK-{n(4)}-{n(5)}", f"ref {n(2)}-{n(3)}-{n(4)}", f"case {n(3)}/{n(4)}", f"booking {n(10)}", f"#555{n(4)}", f"ride #{n(4)}-{n(6)}", f"rd_{n(10)}", f"booking 0{n(9)}", f"booking 9{n(8)}"])
-        if slot == "plate":
-            return r.choice([f"VE {n(4)}", f"QK-{n(4)}", f"N{n(4)}-OR"])
-        if slot == "clock":
-            return r.choice([f"{r.randint(1, 12)}.{n(2)} pm", f"{r.randint(10, 23)}:{r.randint(10, 59)}", f"{r.randint(10, 23)}h{r.randint(10, 59)}"])
-        if slot == "money":
-            return r.choice([f"${n(2)}.{n(2)}", f"€{n(2)},{n(2)}", f"{n(2)}.{n(2)} credits", f"{n(2)}.{n(2)} VLC"])
-        if slot == "big":
-            return r.choice([n(6), f"{n(3)},{n(3)}", f"{n(3)}_{n(3)}"])
-        if slot == "coord":
-            return f"44.{n(5)}, -31.{n(5)}"
-        if slot == "year":
-            return str(r.randint(1945, 2003))
-        return str(r.randint(1, 80))
+        r, n = self.r, self.n
+        month, d = r.choice(["January", "March", "April", "May", "June", "August", "October"]), r.randint(1, 28)
+        two = f"{r.choice(self.given + self.family) if r.random() < 0.6 else self.made()} {r.choice(_PLACES)} {r.choice(_FIRMS)}"
+        firm = two if r.random() < 0.3 else (r.choice(_FAMILY) if r.random() < 0.4 else r.choice(_GIVEN) if r.random() < 0.3 else self.made()) + " " + r.choice(_FIRMS)
+        made: dict[str, object] = {
+            "place": lambda: (r.choice(_STREETS) if r.random() < 0.3 else r.choice(self.given + self.family) if r.random() < 0.4 else self.made()) + " " + r.choice(_PLACES),
+            "firm": lambda: firm if r.random() < 0.85 else f"{r.choice(_FAMILY)} & {r.choice([r.choice(_FAMILY), 'Sons', 'Partners'])}",
+            "street": self.street, "town": self.town, "month": lambda: month, "thing": lambda: r.choice(_THINGS), "noun": lambda: r.choice(_NOUNS),
+            "weekday": lambda: r.choice("Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()),
+            "day": lambda: r.choice([f"{month} {d}", f"{d} {month}", f"{r.randint(1, 12)}/{d}", f"20{r.randint(15, 29)}-{r.randint(1, 12):02d}-{d:02d}", f"{d}.{r.randint(1, 12)}.20{n(2)}"]),
+            "trip": lambda: r.choice([f"{r.choice(['RD', 'TK', 'BK', 'TR'])}-{n(4)}-{n(6)}", f"{r.choice(['REF', 'INC', 'TKT', 'ORD'])}-{n(4)}-{n(5)}", f"{r.choice(['REF', 'INC', 'TKT', 'ORD'])}-{n(5)}", f"#{n(7)}", f"ref {n(2)}-{n(3)}-{n(4)}", f"case {n(3)}/{n(4)}", f"booking {n(10)}", f"ride #{n(4)}-{n(5)}", f"rd_{n(9)}", f"order {n(9)}", f"{r.choice(['RD', 'TK'])}{n(8)}"]),
+            "plate": lambda: r.choice([f"{r.choice('ABKLM')}{r.choice('CDEX')} {n(4)}", f"{r.choice('ABKLM')}{r.choice('CDEX')}-{n(4)}", f"{r.choice('NKP')}{n(4)}-{r.choice('AB')}{r.choice('RT')}"]),
+            "clock": lambda: r.choice([f"{r.randint(1, 12)}.{r.randint(10, 59)} pm", f"{r.randint(10, 23)}:{r.randint(10, 59)}", f"{r.randint(10, 23)}h{r.randint(10, 59)}", f"{r.randint(1, 12)} am"]),
+            "money": lambda: r.choice([f"${n(2)}.{n(2)}", f"€{n(2)},{n(2)}", f"{n(2)}.{n(2)} credits", f"£{n(1)}.{n(2)}", f"{n(2)} euros"]),
+            "number": lambda: r.choice([n(6), f"{r.randint(1, 9)}{n(2)},{n(3)}", n(4), n(5), f"{n(3)}_{n(3)}", n(8)]), "coord": lambda: f"{r.randint(-89, 89)}.{n(5)}, {r.randint(-179, 179)}.{n(5)}",
+            "small": lambda: str(r.randint(1, 80)), "handle": lambda: "@" + _plain(r.choice(self.given)) + r.choice(["", "_" + n(2), "rides", ".desk"]),
+            "kin": lambda: r.choice("sister brother mother father wife husband friend neighbour colleague cousin boss".split()), "role": lambda: r.choice("driver passenger rider customer owner manager witness".split()),
+            "title": lambda: r.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Mr", "Ms", "Mrs", "Prof."]),
+        }
+        return made[slot]()
 
     def sentence(self, form: str) -> tuple[str, list[tuple[int, int, str]]]:
-        makers = {"P": ("person", self.person), "E": ("email", self.email), "T": ("phone", self.phone), "I": ("national_id", self.ident), "A": ("address", self.address), "F": ("address", self.french), "S": ("address", self.spanish), "Q": ("address", self.portuguese), "D": ("address", self.german)}
+        makers = {"P": ("person", self.person), "F": ("person", self.f), "E": ("email", self.email), "T": ("phone", self.phone), "I": ("national_id", self.ident), "A": ("address", self.address), "R": ("address", self.french), "S": ("address", self.spanish), "Q": ("address", self.portuguese), "D": ("address", self.german)}
+        form = form.replace("{{", "\x01").replace("}}", "\x02")
         out, spans, at = "", [], 0
         for m in regex.finditer(r"\{(\w+)\}", form):
             out += form[at : m.start()]
             at = m.end()
             slot = m.group(1)
             if slot == "G":
-                kind, made = "person", self.g() if self.r.random() < 0.75 else self.person()
+                kind, made = "person", self.g() if self.r.random() < 0.75 else f"{self.g()} {self.f()}"
             elif slot in makers:
                 kind, made = makers[slot][0], makers[slot][1]()
             else:
@@ -219,27 +205,26 @@ class _Maker:
             if kind:
                 spans.append((len(out), len(out) + len(made), kind))
             out += made
-        return out + form[at:], spans
+        return (out + form[at:]).replace("\x01", "{").replace("\x02", "}"), spans
 
     def document(self) -> tuple[str, list[tuple[int, int, str]]]:
         r = self.r
         text, spans = "", []
         whole = r.random()
         for _ in range(r.randint(1, 4)):
-            s, own = self.sentence(r.choice(_WITH) if r.random() < 0.6 else r.choice(_WITHOUT))
             x = r.random()
-            if whole < 0.08 or x < 0.05:
-                low = s.lower()
-                s = low if len(low) == len(s) else s
-            elif whole < 0.15 or x < 0.08:
-                up = s.upper()
-                s = up if len(up) == len(s) else s
+            s, own = self.sentence(r.choice(_WITH) if x < 0.55 else r.choice(_WITHOUT) if x < 0.92 else r.choice(_WORDS_TOO))
+            x = r.random()
+            if whole < 0.08 or x < 0.04:
+                s = s.lower() if len(s.lower()) == len(s) else s
+            elif whole < 0.15 or x < 0.07:
+                s = s.upper() if len(s.upper()) == len(s) else s
             if r.random() < 0.04:
                 s = s.replace(" ", "\xa0")
-            if text:
-                text += r.choice([" ", " ", " ", "\n", "\n\n", "\r\n", "  ", " - ", " / ", " ... "])
+            if text and not text.endswith("\n"):
+                text += r.choice([" ", " ", " ", " ", "\n", "\n\n", "\r\n", "  ", " - "])
             if r.random() < 0.06:
-                text += r.choice(["Note: ", "PS ", "For the record: ", "[12:10] driver: ", "(17.33) rider: ", "11:41 dispatch> ", "Yesterday: ", "TODO: ", "Meanwhile, ", "Again - "])
+                text += r.choice(["Note: ", "PS: ", f"[{r.randint(10, 23)}:{r.randint(10, 59)}] driver: ", f"{r.randint(10, 23)}:{r.randint(10, 59)} support> ", "Update: ", "TODO: ", "Also, ", "> "])
             spans += [(a + len(text), b + len(text), k) for a, b, k in own]
             text += s
         return text, spans
