@@ -27,21 +27,29 @@ from rideloom.llm.tokens import token_counts
 BINS = 4096
 #: The plan of a mix is made on the driver; it holds one line a target.
 MOST_TARGETS = 1000
-MOST_REPEATS = 1000
+#: A cap beyond this is an error, since the distribution is tabulated up to the cap.
+MOST_REPEATS = 100_000
 
 
 def poisson_cdf(mean: float, upto: int) -> list[float]:
-    """P(X <= k) for k = 0 .. upto - 1."""
+    """P(X <= k) for k = 0 .. upto - 1, by logarithms, so that no mean is too large."""
     if mean == math.inf:
         return [0.0] * upto
-    out, term, total = [], math.exp(-mean), 0.0
+    if mean <= 0:
+        return [1.0] * upto
+    out, total, log_mean = [], 0.0, math.log(mean)
     for k in range(upto):
-        total += term
+        total += math.exp(k * log_mean - mean - math.lgamma(k + 1))
         out.append(min(1.0, total))
-        term *= mean / (k + 1)
     return out
 
 
+def _steps(cdf: list[float]) -> tuple[int, list[float]]:
+    """Steps below every number drawn, and those that tell numbers apart; steps of 1 are above every number."""
+    least = 0.5 / 2**52
+    return sum(c < least for c in cdf), [c for c in cdf if least <= c < 1.0]
+
+
 def solve_rate(histogram: list[float], target: float, cap: int) -> float:
     """The mean at which documents with these tokens by bins of their number bring the target; inf: every document cap times."""
     n = len(histogram)
@@ -62,9 +70,9 @@ def solve_rate(histogram: list[float], target: float, cap: int) -> float:
     if target >= above[0] * cap * (1 - 1e-9):
         return math.inf
     lo, hi = 0.0, 1.0
-    while drawn(hi) < target and hi < 700:
+    while drawn(hi) < target and hi < 1e12:
         hi *= 2
-    for _ in range(60):
+    for _ in range(70):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if drawn(mid) < target else (lo, mid)
     return (lo + hi) / 2
@@ -96,7 +104,9 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
         docs[r["source"]] += r["docs"]
     lines = []
     for r in wanted:
-        cap = max(0, min(MOST_REPEATS, r["max_repeats"] if r["max_repeats"] is not None else 1))
+        cap = max(0, r["max_repeats"] if r["max_repeats"] is not None else 1)
+        if cap > MOST_REPEATS:
+            raise ValueError(f"{r['source']}: max_repeats over {MOST_REPEATS}")
         lines.append({"source": r["source"], "weight": max(0.0, r["weight"] or 0.0), "max_repeats": cap, "documents": docs[r["source"]], "available": sum(histograms[r["source"]])})
     live = [x for x in lines if x["available"] > 0 and x["weight"] > 0 and x["max_repeats"] > 0]
     weights = sum(x["weight"] for x in live)
@@ -112,15 +122,24 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
 def mix(sizes: DataFrame, lines: list[dict], seed: int = 1) -> DataFrame:
     """(doc_id, source, tokens, copy, place): each drawn copy, in global shuffle order by place."""
     spark = sizes.sparkSession
-    steps = [(x["source"], poisson_cdf(x["mean"], x["max_repeats"])) for x in lines if x["mean"] > 0]
-    cdfs = spark.createDataFrame(steps, "source string, cdf array<double>")
+    steps = [(x["source"], *_steps(poisson_cdf(x["mean"], x["max_repeats"]))) for x in lines if x["mean"] > 0]
+    cdfs = spark.createDataFrame(steps, "source string, sure int, cdf array<double>")
     d = sizes.join(F.broadcast(cdfs), "source")  # as many rows as targets
-    count = F.size(F.filter("cdf", lambda c: c < uniform(seed, "doc_id")))
+    count = F.col("sure") + F.size(F.filter("cdf", lambda c: c < uniform(seed, "doc_id")))
     d = d.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     d = d.select("doc_id", "source", "tokens", "copy", F.xxhash64(F.lit(seed + 1), "doc_id", "copy").alias("place"))
     return d.repartitionByRange("place").sortWithinPartitions("place", "doc_id", "copy")
 
 
+def with_texts(drawn: DataFrame, documents: DataFrame) -> DataFrame:
+    """The drawn copies with their texts, in the global order: (doc_id, source, tokens, copy, place, text).
+
+    Of rows sharing an id the one counted (the least source) brings the text, the least of several.
+    """
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("source").isNotNull()).groupBy("doc_id", "source").agg(F.min("text").alias("text"))
+    return drawn.join(texts, ["doc_id", "source"]).repartitionByRange("place").sortWithinPartitions("place", "doc_id", "copy")
+
+
 def report(drawn: DataFrame, lines: list[dict]) -> DataFrame:
     """(source, weight, target_share, share, tokens, copies, documents, mean_repeats, most_repeats, max_repeats) of each target."""
     spark = drawn.sparkSession

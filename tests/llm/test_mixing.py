@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from rideloom.llm import mixing as M
 from rideloom.llm import plans
 from pyspark.sql import functions as F
@@ -58,3 +60,27 @@ def test_edges(spark, small):
     over = M.plan(sizes, one, total_tokens=100.0)
     assert M.report(M.mix(sizes, over), over).first().tokens == 4  # capped, and said so
     assert plans.p9_shares(spark, small).count() == 8
+
+
+def test_large_caps(spark):
+    """A small source repeated some 3,000 times, under a cap of 5,000; more than can be tabulated is an error."""
+    docs = [(i, "small", 10) for i in range(40)] + [(100 + i, "large", 100) for i in range(12_000)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    targets = lambda cap: spark.createDataFrame([("small", 0.5, cap), ("large", 0.5, 1)], "source string, weight double, max_repeats int")
+    lines = M.plan(sizes, targets(5000))
+    report = {r.source: r for r in M.report(M.mix(sizes, lines), lines).collect()}
+    assert 2900 < report["small"].mean_repeats < 3100 and report["small"].most_repeats <= 5000 and abs(report["small"].share - 0.5) < 0.02
+    for mean in (5.0, 900.0, 40_000.0):
+        cdf = M.poisson_cdf(mean, int(mean * 3))
+        assert abs(cdf[int(mean)] - 0.5) < 0.2 and abs(cdf[-1] - 1) < 1e-2 and cdf == sorted(cdf)
+    with pytest.raises(ValueError, match="max_repeats"):
+        M.plan(sizes, targets(M.MOST_REPEATS + 1))
+
+
+def test_texts_of_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    drawn = plans.p9_mix(spark, small)
+    got = M.with_texts(drawn, docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == drawn.count() and all(r.text == texts[r.doc_id] for r in got)
+    assert [r.place for r in got] == sorted(r.place for r in got)
