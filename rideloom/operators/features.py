@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import written
+from rideloom.common import cumulated, value_counts, written
 
 
 def hashed_split(df: DataFrame, key: str, parts: Sequence[float], seed: int = 1) -> DataFrame:
@@ -24,6 +24,34 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)).cast("int"))
 
 
+def split_by_time(df: DataFrame, ts: str, parts: Sequence[float]) -> DataFrame:
+    """Adds part 0, 1, ...: earlier rows first, shares of the rows by cumulative counts of distinct times; equal times stay together.
+
+    A time belongs to the part in which its first row falls. Rows without a time have no part.
+    """
+    key = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    at = cumulated(value_counts(df.select(key.alias("_us")), [], "_us"), []).select(F.col("value").alias("_us"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("_q"))
+    edges = [sum(parts[: i + 1]) for i in range(len(parts) - 1)]
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("_q") + 1e-12)) if edges else F.lit(0)
+    return df.withColumn("_us", key).join(at.withColumn("part", part).drop("_q"), "_us", "left").drop("_us")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, parts: Sequence[float], seed: int = 1) -> DataFrame:
+    """Adds part 0, 1, ...: the same shares of each stratum, exact to a row. Rows are ordered by a seeded hash of the key within bands of the stratum."""
+    bands = 256
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    x = df.withColumn("_h", h).withColumn("_band", F.pmod(F.shiftrightunsigned(F.col("_h"), 16), F.lit(bands)))
+    counts = x.groupBy(F.col(stratum).alias("_s"), F.col("_band").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))  # strata x bands
+    by = Window.partitionBy("_s")
+    counts = counts.select("_s", "_b", (F.sum("_n").over(by.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(by).alias("_all"))
+    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(stratum, "_band").orderBy("_h", key)))
+    x = x.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_band") == F.col("_b")))
+    at = (F.col("_before") + F.col("_i") - 1) / F.col("_all")
+    edges = [sum(parts[: i + 1]) for i in range(len(parts) - 1)]
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= at + 1e-12)) if edges else F.lit(0)
+    return x.withColumn("part", part).select(*df.columns, "part")
+
+
 def freshness(expected: DataFrame, latest: DataFrame, key: str, ts: str, now: str, sla_s: str) -> DataFrame:
     """Adds state fresh, stale or unknown (never written)."""
     age = F.lit(now).cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")
@@ -93,6 +121,36 @@ def bm25(counts: DataFrame, key: str, query: Sequence[str], average_length: Colu
     return counts.where(F.col("term").isin(*query)).groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def mentions(docs: DataFrame, key: str, text: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+    """(key, kind, start, mention): every match of each (kind, regular expression), with its offset in characters.
+
+    A kind may have several patterns, the caller's own included; matches of one pattern don't overlap.
+    """
+    found = []
+    for kind, rx in patterns:
+        parts, hits = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+        sizes = F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n"), b.alias("m")))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,mention:string>>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["m"].alias("mention")))).alias("out"))
+        named = F.lit(kind).alias("kind")
+        found.append(F.transform(F.aggregate(sizes, none, step)["out"], lambda x: F.struct(named, x["start"].alias("start"), x["mention"].alias("mention"))))  # noqa: B023  called at once
+    return docs.where(F.col(text).isNotNull()).select(key, F.explode(F.flatten(F.array(*found))).alias("x")).select(key, "x.kind", "x.start", "x.mention")
+
+
+def linked(found: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mentions joined to the entities they may mean: aliases (kind, alias, entity), compared without case and outer blanks; unknown ones stay, with a null entity."""
+    a = aliases.where(F.col("alias").isNotNull()).select(F.col("kind").alias("_k"), F.lower(F.trim("alias")).alias("_a"), "entity").distinct()
+    return found.join(a, (F.col("kind") == F.col("_k")) & (F.lower(F.trim("mention")) == F.col("_a")), "left").drop("_k", "_a")
+
+
+def gazetteer(names: Sequence[str], least: int = 2) -> str:
+    """One pattern of a bounded list of names, longest first; names shorter than `least` are left to other patterns."""
+    import re
+
+    kept = sorted({n.strip() for n in names if n and len(n.strip()) >= least}, key=lambda n: (-len(n), n))
+    return "(?i)(?:" + "|".join(re.escape(n) for n in kept) + ")" if kept else "(?!)"
+
+
 # ---- graphs ------------------------------------------------------------------------------------------------------
 
 

@@ -94,9 +94,18 @@ def schema_change(old: T.StructType, new: T.StructType) -> dict[str, list[str]]:
 WIDER = {("int", "bigint"), ("int", "double"), ("int", "string"), ("bigint", "double"), ("bigint", "string"), ("float", "double"), ("float", "string"), ("double", "string"), ("boolean", "string"), ("boolean", "int"), ("boolean", "bigint")}
 
 
-def backward_compatible(old: T.StructType, new: T.StructType) -> list[str]:
+def forward_compatible(old: T.StructType, new: T.StructType) -> list[str]:
+    """Reasons why data of the new schema can't be read with the old one."""
+    return backward_compatible(new, old, removed_ok=True)
+
+
+def fully_compatible(old: T.StructType, new: T.StructType) -> list[str]:
+    return [f"backward: {x}" for x in backward_compatible(old, new)] + [f"forward: {x}" for x in forward_compatible(old, new)]
+
+
+def backward_compatible(old: T.StructType, new: T.StructType, removed_ok: bool = False) -> list[str]:
     """Reasons why data of the old schema can't be read with the new one; none: compatible."""
     a, b = {f.name: f for f in old}, {f.name: f for f in new}
-    found = [f"{c} removed" for c in a if c not in b]
+    found = [] if removed_ok else [f"{c} removed" for c in a if c not in b]
     found += [f"{c} {a[c].dataType.simpleString()} to {b[c].dataType.simpleString()}" for c in a if c in b and a[c].dataType != b[c].dataType and (a[c].dataType.simpleString(), b[c].dataType.simpleString()) not in WIDER]
     return found + [f"{c} required" for c in b if c not in a and not b[c].nullable]

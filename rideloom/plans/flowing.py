@@ -35,6 +35,15 @@ def _(spark, d):
     return S.load(spark, "csv", path, t(spark, d, "dim_zones").schema).select("zone_id", "zone_name", "borough")
 
 
+@q("src05_months", "SELECT CASE WHEN event_type = 'view' THEN 'green' ELSE 'yellow' END AS kind, strftime(ts, '%Y-%m') AS month, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    """A file a kind and month, read again by a pattern over all of them."""
+    e, path = t(spark, d, "events"), S.new_path(spark, "months")
+    for kind, which in (("green", F.col("event_type") == "view"), ("yellow", F.col("event_type") != "view")):
+        S.write_months(e.where(which), "ts", kind, path)
+    return S.read_months(spark, path).groupBy("kind", "month").agg(n_rows().alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @q("src06", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(spark, d):
     n = t(spark, d, "nation")
@@ -106,6 +115,23 @@ def _(spark, d):
     return spark.createDataFrame([(f, f in S.FORMATS) for f in ("parquet", "json", "csv", "xlsx")], "format string, known boolean")
 
 
+@q("src15_ingest", "SELECT 'supplier' AS name, 'csv' AS format, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier UNION ALL SELECT 'customer', 'json', count(*), round(sum(c_acctbal), 2) FROM customer UNION ALL SELECT 'supplier', 'xml', NULL, NULL")
+def _(spark, d):
+    """Registered tables come in by their format and schema; another format is refused and has no rows."""
+    jobs, out = S.Ingest(spark), None
+    for name, fmt, key in (("supplier", "csv", "s_acctbal"), ("customer", "json", "c_acctbal"), ("supplier", "xml", "s_acctbal")):
+        if fmt in S.FORMATS:
+            jobs.register(name, fmt, t(spark, d, name).schema)
+            path = S.export(t(spark, d, name), fmt, S.new_path(spark, f"{name}-{fmt}"))
+        if jobs.accepts(name, fmt):
+            x = jobs.run(name, fmt, path).agg(n_rows().alias("n"), F.round(F.sum(key), 2).alias("total"))
+        else:
+            x = spark.range(1).select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("total"))
+        x = x.select(F.lit(name).alias("name"), F.lit(fmt).alias("format"), "n", "total")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @q("src16", "SELECT count(*) AS n, max(updated_at) IS NOT NULL AS moved FROM subscriptions WHERE updated_at > TIMESTAMPTZ '2016-06-01 00:00:00+00'")
 def _(spark, d):
     from rideloom.operators.pipeline import since
@@ -131,6 +157,19 @@ def _(spark, d):
     return S.synthetic_events(spark, 20_000).groupBy("kind").agg(n_rows().alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
+@q("src18_modes")
+def _(spark, d):
+    """Every template in the made modes, and lineitem replayed: rows, keys and time span in seconds."""
+    out = None
+    for template in ("ride", "location", "payment", "driver"):
+        for mode in ("synthetic", "stress"):
+            x = S.generated(spark, template, 2_000, mode).agg(n_rows().alias("n"), F.count_distinct("driver_id").alias("keys"), (F.max("sent_at").cast("long") - F.min("sent_at").cast("long")).alias("span_s"))
+            x = x.select(F.lit(template).alias("template"), F.lit(mode).alias("mode"), "n", "keys", "span_s")
+            out = x if out is None else out.unionByName(x)
+    r = S.generated(spark, "ride", 1_000, "replay", source=t(spark, d, "events")).agg(n_rows().alias("n"), F.count_distinct("user_id").alias("keys"), (F.max("sent_at").cast("long") - F.min("sent_at").cast("long")).alias("span_s"))
+    return out.unionByName(r.select(F.lit("events").alias("template"), F.lit("replay").alias("mode"), "n", "keys", "span_s"))
+
+
 _W = "CAST(floor(epoch(ts) / {s}) AS BIGINT) * {s}"
 _AGG = "count(*) AS n, round(sum(value), 4) AS total"
 

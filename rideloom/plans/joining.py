@@ -212,4 +212,11 @@ def _(spark, d):
     return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@q("join21_month", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1995 AND month(o_orderdate) = 1)")
+def _(spark, d):
+    """Customers without an order in one month: both sides of the anti join have rows."""
+    o = t(spark, d, "orders").where((F.year("o_orderdate") == 1995) & (F.month("o_orderdate") == 1))
+    return t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
 QUERIES, SQL = book.QUERIES, book.SQL

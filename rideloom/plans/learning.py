@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rideloom.common import table as t
+from rideloom.common import written
 from rideloom.operators import features as X
+from rideloom.operators import learners as L
 from rideloom.operators import stats as S
 from rideloom.operators import timeseries as TS
 from rideloom.operators.aggregates import interpolated
@@ -201,6 +203,21 @@ def _(spark, d):
     return a.select("arm", r(F.col("m") / 100 + F.sqrt(2 * F.ln(total) / F.col("n"))).alias("ucb"))
 
 
+@q("st20_regret", "SELECT event_type AS arm, count(*) AS n, round(count(*) * ((SELECT max(m) FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)) - avg(value)), 2) AS regret FROM events GROUP BY 1")
+def _(spark, d):
+    """What each arm's plays cost against the best arm's mean."""
+    a = t(spark, d, "events").groupBy(F.col("event_type").alias("arm")).agg(F.avg("value").alias("m"), n_rows().alias("n"))
+    return a.select("arm", "n", r(F.col("n") * (F.max("m").over(W.partitionBy(F.lit(1))) - F.col("m")), 2).alias("regret"))  # a row an arm
+
+
+@q("st20_policies")
+def _(spark, d):
+    """Epsilon-greedy, UCB1 and Thompson against arms whose chances are the shares of large values, ten seeds each."""
+    arms = t(spark, d, "events").groupBy("event_type").agg(F.avg((F.col("value") > 50).cast("double")).alias("p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_type", "p"))), lambda x: x["p"]).alias("arms"))  # a row an arm
+    runs = spark.range(30).select(F.col("id").alias("run"), F.element_at(F.array(F.lit("epsilon"), F.lit("ucb1"), F.lit("thompson")), (F.col("id") % 3 + 1).cast("int")).alias("policy"), F.col("id").alias("seed"))
+    return L.bandit_runs(runs.crossJoin(F.broadcast(arms)), 1000).select("run", "policy", r("rewards", 1).alias("rewards"), r("regret", 4).alias("regret"), r("best_share").alias("best_share"))  # one row
+
+
 # ---- features ----------------------------------------------------------------------------------------------------
 
 
@@ -243,6 +260,17 @@ def _(spark, d):
     return X.hashed_split(t(spark, d, "orders"), "o_orderkey", [0.7, 0.15, 0.15]).groupBy("part").agg(n_rows().alias("n"))
 
 
+@q("ft08_time", "WITH a AS (SELECT o_orderdate AS moment, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1), b AS (SELECT moment, n, coalesce(sum(n) OVER (ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS q FROM a) SELECT CAST(q + 1e-12 >= 0.7 AS INT) + CAST(q + 1e-12 >= 0.85 AS INT) AS part, CAST(sum(n) AS BIGINT) AS n, CAST(min(moment) AS DATE) AS first, CAST(max(moment) AS DATE) AS last FROM b GROUP BY 1")
+def _(spark, d):
+    x = X.split_by_time(t(spark, d, "orders"), "o_orderdate", [0.7, 0.15, 0.15])
+    return x.groupBy("part").agg(n_rows().alias("n"), F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+
+
+@q("ft08_strata", "SELECT o_orderpriority, CAST(q + 1e-12 >= 0.7 AS INT) + CAST(q + 1e-12 >= 0.85 AS INT) AS part, count(*) AS n FROM (SELECT o_orderpriority, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / count(*) OVER (PARTITION BY o_orderpriority) AS q FROM orders) GROUP BY ALL")
+def _(spark, d):
+    return X.stratified_split(t(spark, d, "orders"), "o_orderpriority", "o_orderkey", [0.7, 0.15, 0.15]).groupBy("o_orderpriority", "part").agg(n_rows().alias("n"))
+
+
 @q("ft09")
 def _(spark, d):
     return X.folds(t(spark, d, "orders"), "o_orderkey", 5).groupBy("fold").agg(n_rows().alias("n"))
@@ -300,6 +328,57 @@ def _(spark, d):
     return model.transform(x).select("u", "i", "r", F.round("prediction", 3).alias("prediction"))
 
 
+@q("ml05_rmse")
+def _(spark, d):
+    """Error of the factors on a hashed fifth of the ratings they did not see, against that of the mean rating."""
+    from pyspark.ml.recommendation import ALS
+
+    x = X.hashed_split(_ratings(spark, d).select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("r").cast("float"), F.xxhash64("u", "i").alias("k")), "k", [0.8, 0.2])
+    train = x.where("part = 0")
+    p = ALS(rank=6, maxIter=8, regParam=0.1, userCol="u", itemCol="i", ratingCol="r", seed=3, coldStartStrategy="drop").fit(train).transform(x.where("part = 1"))
+    p = p.crossJoin(F.broadcast(train.agg(F.avg("r").alias("m"))))  # one row
+    return p.agg(n_rows().alias("n"), r(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("r"), 2))), 4).alias("rmse"), r(F.sqrt(F.avg(F.pow(F.col("m") - F.col("r"), 2))), 4).alias("rmse_of_mean"))
+
+
+_NET = ["l_quantity", "l_discount", "l_tax"]
+
+
+@q("ml06_net")
+def _(spark, d):
+    """The two-layer net: its epochs with rate and validation loss."""
+    net = L.train_net(t(spark, d, "lineitem"), _NET, "l_extendedprice", hidden=6, epochs=12, batches=2, schedule=L.step_decay(0.1, 4), patience=3)
+    return spark.createDataFrame([(h["epoch"], float(h["rate"]), float(round(h["loss"], 6))) for h in net.history], "epoch int, rate double, loss double")
+
+
+@q("ml07_search")
+def _(spark, d):
+    """Grid, seeded random and tree-structured search over two smoothing factors; the points of a round share one pass."""
+    w = W.partitionBy("event_type").orderBy("day")
+    e = t(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v")).withColumns({"p1": F.lag("v").over(w), "p2": F.lag("v", 2).over(w), "p3": F.lag("v", 3).over(w)}).where("p3 IS NOT NULL")
+    e = written(e, "lags")  # a row a day and type
+
+    def score(points):
+        err = lambda p: F.col("v") - (p["a"] * F.col("p1") + (1 - p["a"]) * (p["b"] * F.col("p2") + (1 - p["b"]) * F.col("p3")))
+        return list(e.agg(*[F.sqrt(F.avg(err(p) * err(p))).alias(f"s{i}") for i, p in enumerate(points)]).first())
+
+    space = {"a": (0.0, 1.0), "b": (0.0, 1.0)}
+    rows = [(how, i, p["a"], p["b"], s) for how in ("grid", "random", "tree") for i, (p, s) in enumerate(L.search(space, score, how, trials=16))]
+    return spark.createDataFrame(rows, "how string, trial int, a double, b double, rmse double")
+
+
+@q("udf04", "WITH x AS (SELECT *, o_orderkey % 4 AS fold FROM orders), m AS (SELECT f.fold, avg(o_totalprice) AS p FROM x, (SELECT DISTINCT fold FROM x) f WHERE x.fold <> f.fold GROUP BY 1) SELECT fold, round(sqrt(avg((o_totalprice - p) * (o_totalprice - p))), 3) AS rmse, round(avg(abs(o_totalprice - p)), 3) AS mae, round(avg(CASE WHEN o_totalprice > 2 * p THEN 1.0 ELSE 0.0 END), 5) AS far FROM x JOIN m USING (fold) GROUP BY 1")
+def _(spark, d):
+    """Cross-validation of a mean with metrics given as functions, one of the caller's own among them."""
+    x = t(spark, d, "orders").withColumn("fold", F.col("o_orderkey") % 4)
+
+    def fit(train):
+        m = train.agg(F.avg("o_totalprice").alias("prediction"))
+        return lambda test: test.crossJoin(F.broadcast(m))  # one row
+
+    own = {"rmse": L.METRICS["rmse"], "mae": L.METRICS["mae"], "far": lambda y, p: F.avg((y > 2 * p).cast("double"))}
+    return L.cross_validated(x, "fold", "o_totalprice", fit, own).select("fold", r("rmse", 3).alias("rmse"), r("mae", 3).alias("mae"), r("far").alias("far"))
+
+
 @q("ml06")
 def _(spark, d):
     """A linear network with elastic stopping, by the built-in optimiser."""
@@ -392,6 +471,13 @@ def _(spark, d):
     return ranked_value(x, ["event_type"], "e", 0.9).select("event_type", r("value", 4).alias("width"))
 
 
+@q("ts08_bootstrap")
+def _(spark, d):
+    """Bootstrap intervals of each type's mean."""
+    x = L.bootstrap_means(t(spark, d, "events"), ["event_type"], "event_id", "value", 100)
+    return x.select("event_type", r("mean", 4).alias("mean"), r("lo", 4).alias("lo"), r("hi", 4).alias("hi"))
+
+
 @q("ts09", "WITH b AS (SELECT event_type, list_sort(list(value)) AS l FROM events GROUP BY 1), e AS (SELECT event_type, l[CAST(floor(len(l) * 0.1) AS BIGINT) + 1] AS lo, l[CAST(floor(len(l) * 0.9) AS BIGINT) + 1] AS hi FROM b) SELECT event_type, lo, hi, round(avg(CAST(value < lo OR value > hi AS INT)), 5) AS outside FROM events JOIN e USING (event_type) GROUP BY ALL")
 def _(spark, d):
     from rideloom.operators.aggregates import ranked_value
@@ -593,6 +679,30 @@ def _(spark, d):
     return docs.join(F.broadcast(z), F.contains("low", "zn")).select("doc_id", "zone_id", (F.instr("low", F.col("zn")) - 1).alias("start"))  # 40 fixed rows
 
 
+_STARTS = "list_sum(list_transform(parts[1:i], lambda p: length(p)))"
+
+
+@q("tx08_all", f"WITH z AS (SELECT zone_id, lower(zone_name) AS zn FROM dim_zones), x AS (SELECT doc_id, zone_id, zn, string_split(lower(text), zn) AS parts FROM documents, z WHERE contains(lower(text), zn)), y AS (SELECT *, unnest(range(1, len(parts))) AS i FROM x) SELECT doc_id, zone_id, CAST({_STARTS} + (i - 1) * length(zn) AS BIGINT) AS start FROM y")
+def _(spark, d):
+    """Every mention of a zone with its offset, linked to the zone by its name in lower case."""
+    import re
+
+    z = t(spark, d, "dim_zones").select(F.lit("zone").alias("kind"), F.lower("zone_name").alias("alias"), F.col("zone_id").alias("entity"))
+    names = sorted({x["alias"] for x in z.select("alias").distinct().limit(1001).collect()})  # 40 fixed rows
+    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    found = X.mentions(docs, "doc_id", "low", [("zone", re.escape(n)) for n in names])
+    return X.linked(found, F.broadcast(z)).select("doc_id", F.col("entity").alias("zone_id"), F.col("start").cast("long").alias("start"))
+
+
+_OWN = [("money", "[$€][0-9]+[.,][0-9][0-9]"), ("ticket", "[A-Z][A-Z]+-[0-9]+-[0-9]+")]
+
+
+@q("udf06", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, hits[i] AS mention, CAST({_STARTS} + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '{x}') AS parts, regexp_extract_all(text, '{x}') AS hits FROM documents WHERE text IS NOT NULL))" for k, x in _OWN))
+def _(spark, d):
+    """Entities by the caller's own patterns."""
+    return X.mentions(t(spark, d, "documents"), "doc_id", "text", _OWN).select("doc_id", "kind", "mention", F.col("start").cast("long").alias("start"))
+
+
 _POS, _NEG = ["clean", "quiet", "smooth", "spotless", "brilliant", "thanks"], ["slow", "late", "declined", "crashed", "stuck", "wrong"]
 
 

@@ -358,6 +358,13 @@ def _(spark, d):
     return x.select("l_orderkey", "l_linenumber", F.round("score", 4).alias("score"))
 
 
+@q("an07_lof")
+def _(spark, d):
+    """k-distance ratios over three features."""
+    x = Q.lof_scores(t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 5)
+    return x.select("p_partkey", F.round("lof", 4).alias("lof"))
+
+
 @q("an07")
 def _(spark, d):
     """Ratio of a supplier's distance to its k-th nearest by balance to that of the neighbours: on a sorted line neighbours are adjacent."""
