@@ -58,15 +58,23 @@ def freshness(expected: DataFrame, latest: DataFrame, key: str, ts: str, now: st
     return expected.join(latest, key, "left").withColumn("state", F.when(F.col(ts).isNull(), "unknown").when(age <= F.col(sla_s), "fresh").otherwise("stale"))
 
 
-def item_similarity(ratings: DataFrame, least_common: int = 2) -> DataFrame:
+def item_similarity(ratings: DataFrame, least_common: int = 2, block: int = 2_000) -> DataFrame:
     """(a, b, similarity) of users over co-rated items: ratings are u, i, r, one row a pair.
 
-    The join is by item; its size is the sum of squared item popularities, so popular items should be capped by design of the ratings.
+    The join is by item, each pair once; its size is half the sum of squared item popularities, which an exact measure
+    needs. Raters of popular items are dealt over blocks and blocks are joined in pairs, so no item is one task.
     """
-    a = ratings.select("i", F.col("u").alias("a"), F.col("r").alias("ra"))
-    b = ratings.select("i", F.col("u").alias("b"), F.col("r").alias("rb"))
-    s = a.join(b, "i").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("xy"), F.sum(F.col("ra") ** 2).alias("xx"), F.sum(F.col("rb") ** 2).alias("yy"), F.count(F.lit(1)).alias("n"))
-    return s.where(F.col("n") >= least_common).select("a", "b", (F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))).alias("similarity"))
+    many = ratings.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    x = ratings.join(many, "i").withColumn("k", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    # Of the pair of blocks the lower comes first: a rater stands in one block and visits the others.
+    a = x.withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("i", F.least("k", "k2").alias("k1"), F.greatest("k", "k2").alias("k2"), F.col("u"), F.col("r"), F.col("k"))
+    b = a.select("i", "k1", "k2", F.col("u").alias("b"), F.col("r").alias("rb"), F.col("k").alias("kb"))
+    a = a.select("i", "k1", "k2", F.col("u").alias("a"), F.col("r").alias("ra"), F.col("k").alias("ka"))
+    # In a mixed pair of blocks only raters of different ones meet.
+    s = a.join(b, ["i", "k1", "k2"]).where("a < b AND (k1 = k2 OR ka <> kb)").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("xy"), F.sum(F.col("ra") ** 2).alias("xx"), F.sum(F.col("rb") ** 2).alias("yy"), F.count(F.lit(1)).alias("n"))
+    s = s.where(F.col("n") >= least_common).select("a", "b", (F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))).alias("similarity"))
+    both = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return s.select(F.explode(both).alias("x"), "similarity").select("x.a", "x.b", "similarity")
 
 
 def recommend(ratings: DataFrame, neighbours: int = 10, k: int = 5, least_common: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rideloom.common import mark_hot, time_slice
+from rideloom.common import mark_hot, time_slice, written
 from rideloom.functions.geo import haversine
 
 #: Dimensions with no more rows than this go to every executor; larger ones are shuffled.
@@ -75,24 +75,36 @@ def valid_at(fact: DataFrame, dim: DataFrame, *, key: str, ts: str, dim_key: str
 def nearest(requests: DataFrame, candidates: DataFrame, *, request_id: str, candidate_id: str, k: int, cell_deg: float = 0.02) -> DataFrame:
     """The k nearest candidates of each request (lat, lon columns on both) by great circle, rank from 1.
 
-    By rings of grid cells: candidates of the request's cell and its neighbours are tried first, and the result is
-    exact if the k-th found is nearer than the neighbourhood's edge; the few other requests are compared with a candidate
-    table that is proven small or reduced by cell.
+    By grid cells: candidates of the request's cell and the eight around it are tried first. A request is settled if its
+    k-th is nearer than the edge of these nine; the others go on with cells four times as wide, until the nine cover the
+    globe. Every round is a join by cell. Requests and candidates without a position are left out.
     """
-    cell = lambda c: F.floor(F.col(c) / cell_deg).cast("long")
-    r = requests.select(F.col(request_id).alias("_r"), F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"))
-    c = candidates.select(F.col(candidate_id).alias("_c"), F.col("lat").alias("_clat"), F.col("lon").alias("_clon")).withColumn("gr", cell("_clat")).withColumn("gc", cell("_clon"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = r.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumn("gr", cell("_rlat") + F.col("i")).withColumn("gc", cell("_rlon") + F.col("j"))
-    dist = haversine(F.col("_rlat"), F.col("_rlon"), F.col("_clat"), F.col("_clon"), 6371.0)
+    r = requests.select(F.col(request_id).alias("_r"), F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon")).dropna()
+    c = candidates.select(F.col(candidate_id).alias("_c"), F.col("lat").alias("_clat"), F.col("lon").alias("_clon")).dropna()
     order = Window.partitionBy("_r").orderBy("km", "_c")
-    hits = near.join(c, ["gr", "gc"]).withColumn("km", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # No candidate outside the nine cells is nearer than one cell, taken at its narrower side.
-    edge = F.lit(cell_deg * 6371.0 * np.pi / 180) * F.cos(F.radians(F.least(F.abs(F.col("_rlat")) + 2 * cell_deg, F.lit(89.0))))
-    sure = hits.where((F.col("rank") == k) & (F.col("km") <= edge)).select("_r")
-    cols = ["_r", "_c", "km", "rank"]
-    rest = r.join(sure, "_r", "left_anti").join(small(c), how="cross").withColumn("km", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return hits.join(sure, "_r", "left_semi").select(*cols).unionByName(rest.select(*cols)).withColumnsRenamed({"_r": request_id, "_c": candidate_id})
+    dist = haversine(F.col("_rlat"), F.col("_rlon"), F.col("_clat"), F.col("_clon"), 6371.0)
+    cols, found, cell = ["_r", "_c", "km", "rank"], None, cell_deg
+    while True:
+        last = cell >= 180
+        columns = max(1, int(360 // cell))  # of equal width, at least cell degrees; they wrap at the date line
+        row = lambda lat: F.floor((F.col(lat) + 90) / cell).cast("long")
+        col = lambda lon: F.floor((F.col(lon) + 180) / (360 / columns)).cast("long")
+        steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        near = r.withColumn("gr", F.explode(F.transform(steps, lambda i: row("_rlat") + i))).withColumn("gc", F.explode(F.array_distinct(F.transform(steps, lambda i: F.pmod(col("_rlon") + i, F.lit(columns))))))
+        placed = c.withColumn("gr", row("_clat")).withColumn("gc", F.pmod(col("_clon"), F.lit(columns)))
+        hits = near.join(placed, ["gr", "gc"]).withColumn("km", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if last:
+            return hits.select(*cols).unionByName(found).withColumnsRenamed({"_r": request_id, "_c": candidate_id}) if found is not None else hits.select(*cols).withColumnsRenamed({"_r": request_id, "_c": candidate_id})
+        # No candidate outside the nine cells is nearer than one cell, taken at its narrower side.
+        edge = F.lit(cell * 6371.0 * np.pi / 180) * F.cos(F.radians(F.least(F.abs(F.col("_rlat")) + 2 * cell, F.lit(89.0))))
+        hits = written(hits.withColumn("edge", edge), "nearest")
+        sure = hits.where((F.col("rank") == k) & (F.col("km") <= F.col("edge"))).select("_r")
+        kept = hits.join(sure, "_r", "left_semi").select(*cols)
+        found = kept if found is None else found.unionByName(kept)
+        r = written(r.join(sure, "_r", "left_anti"), "unsettled")
+        if r.isEmpty():
+            return found.withColumnsRenamed({"_r": request_id, "_c": candidate_id})
+        cell *= 4
 
 
 def pairs_both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -89,23 +89,56 @@ def corrected_hours(processed: DataFrame, **options) -> DataFrame:
     return driver_hours(processed, **options).where(F.col("revisions") > 0).select("driver_id", "period_start")
 
 
-def stream_driver_hours(stream: DataFrame, state_dir: str, close_s: int = CLOSE_S, pane_s: int = HOUR_S):
-    """A streaming query that keeps (driver_id, pane) counts under state_dir, one folder of changes per micro-batch.
+def stream_driver_hours(stream: DataFrame, state_dir: str, size_s: int = HOUR_S, slide_s: int = HOUR_S, publish_s: int = PUBLISH_S, close_s: int = CLOSE_S):
+    """A streaming query that publishes and corrects drivers' periods; returns the DataStreamWriter.
 
-    Each micro-batch adds its own panes only; reading all folders and summing gives the current counts. A batch
-    that is run again overwrites its folder, so the result is exactly once. Returns the DataStreamWriter.
+    Each micro-batch adds its changes of panes under state_dir/panes, then composes again only the windows over the panes it
+    changed and writes their emissions of its steps to state_dir/emissions. Both folders are named by the batch and
+    overwritten if it is run again, so results are exactly once.
+
+    Of copies within one micro-batch the first one read counts. The clock is processed_at, the server's: a device's clock that runs ahead moves nothing. Copies of an event are dropped
+    while a window it can change is open; a copy that comes later than all of that changes no emission, but counts as
+    too late once more.
     """
-    marked = stream.select("event_id", "driver_id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("processed_at").cast("timestamp").alias("processed_at"))
-    marked = marked.withWatermark("recorded_at", f"{pane_s + close_s} seconds").dropDuplicatesWithinWatermark(["event_id"])
+    every = publish_s
+    marked = stream.select("event_id", "driver_id", F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.col("processed_at").cast("timestamp").alias("processed_at")).dropna()
+    marked = marked.withWatermark("processed_at", f"{size_s + close_s + publish_s} seconds").dropDuplicatesWithinWatermark(["event_id"])
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        start = F.floor(F.unix_micros("recorded_at") / F.lit(pane_s * 1_000_000)).cast("long") * pane_s
-        changed = batch.groupBy("driver_id", start.alias("pane_start")).agg(F.count(F.lit(1)).alias("n"))
-        changed.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+        spark = batch.sparkSession
+        ev = batch.select(F.col("driver_id").alias("key"), F.unix_micros("recorded_at").alias("event_us"), F.unix_micros("processed_at").alias("processed_us"))
+        panes(ev, slide_s, size_s, publish_s, close_s, every).write.mode("overwrite").parquet(f"{state_dir}/panes/batch={batch_id}")
+        own = spark.read.parquet(f"{state_dir}/panes/batch={batch_id}")
+        span = own.agg(F.min("pane_start"), F.max("pane_start")).first()
+        if span[0] is None:
+            return
+        # Panes that share a window with a changed one; periods of time first, so that old folders are skipped by their statistics.
+        reach = size_s - slide_s
+        around = read_panes(spark, state_dir, keep_steps=True).where(F.col("pane_start").between(span[0] - reach, span[1] + reach))
+        changed = own.select("key", F.explode(F.sequence(F.col("pane_start") - reach, F.col("pane_start") + reach, F.lit(slide_s).cast("long"))).alias("pane_start")).distinct()
+        em = emissions(around.join(changed, ["key", "pane_start"], "left_semi"), size_s, slide_s, publish_s, close_s, every)
+        steps = emissions(own, size_s, slide_s, publish_s, close_s, every).select("key", "window_start", "emitted_s")
+        same = em["emitted_s"].eqNullSafe(steps["emitted_s"]) & (em["key"] == steps["key"]) & (em["window_start"] == steps["window_start"])
+        em.join(steps, same, "left_semi").write.mode("overwrite").parquet(f"{state_dir}/emissions/batch={batch_id}")
 
     return marked.writeStream.foreachBatch(keep)
 
 
-def read_panes(spark: SparkSession, state_dir: str) -> DataFrame:
-    kept = spark.read.parquet(state_dir)
-    return kept.groupBy("driver_id", "pane_start").agg(F.sum("n").alias("n"))
+def read_panes(spark: SparkSession, state_dir: str, keep_steps: bool = False) -> DataFrame:
+    """(key, pane_start, batch_s if steps are kept, n) as of now."""
+    kept = spark.read.parquet(f"{state_dir}/panes")
+    return kept.groupBy("key", "pane_start", *(["batch_s"] if keep_steps else [])).agg(F.sum("n").alias("n"))
+
+
+def read_emissions(spark: SparkSession, state_dir: str) -> DataFrame:
+    """(key, window_start, emitted_s, n, delta, revision): of several versions of an emission the last batch's."""
+    e = spark.read.parquet(f"{state_dir}/emissions")
+    values = ["n", "delta", "revision"]
+    return e.groupBy("key", "window_start", "emitted_s").agg(F.max_by(F.struct(*values), "batch").alias("x")).select("key", "window_start", "emitted_s", *[f"x.{v}" for v in values])
+
+
+def compacted(spark: SparkSession, state_dir: str, to_dir: str) -> None:
+    """The state of a stopped stream in few files, under a new folder; batch numbers go on above the one it gets."""
+    last = spark.read.parquet(f"{state_dir}/panes").agg(F.max("batch")).first()[0]
+    read_panes(spark, state_dir, keep_steps=True).write.parquet(f"{to_dir}/panes/batch={last}")
+    read_emissions(spark, state_dir).write.parquet(f"{to_dir}/emissions/batch={last}")

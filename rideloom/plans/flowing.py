@@ -22,6 +22,10 @@ def _stream(spark, d):
     return X.stream_of(spark, f"{d}/events.parquet", "ts")
 
 
+def _batches(spark, d):
+    return X.stream_of_files(spark, X.staged(t(spark, d, "events"), "ts"))
+
+
 @q("src02", "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
 def _(spark, d):
     path = S.new_path(spark, "checked")
@@ -180,17 +184,20 @@ def _aggs():
 
 @q("str01", f"SELECT {_W.format(s=3600)} AS start, event_type, {_AGG} FROM events GROUP BY ALL")
 def _(spark, d):
-    return X.run_windowed(_stream(spark, d), "ts", "1 hour", _aggs(), ["event_type"])
+    """Four micro-batches in order of time; windows are updated over them."""
+    return X.run_windowed(_batches(spark, d), "ts", "1 hour", _aggs(), ["event_type"])
 
 
 @q("str02", f"SELECT {_W.format(s=3600)} - k * 3600 AS start, {_AGG} FROM events, range(0, 2) r(k) GROUP BY ALL")
 def _(spark, d):
-    return X.run_windowed(_stream(spark, d), "ts", "2 hours", _aggs(), slide="1 hour")
+    return X.run_windowed(_batches(spark, d), "ts", "2 hours", _aggs(), slide="1 hour")
 
 
 @q("str03", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts))) AS BIGINT) AS \"end\", count(*) AS n FROM s GROUP BY user_id, no")
 def _(spark, d):
-    return X.run_sessions(_stream(spark, d), "ts", "2 hours", "user_id")
+    """Sessions come out when closed; a last row past all of them closes those still open."""
+    path = X.staged(t(spark, d, "events"), "ts", close="1 DAY")
+    return X.run_sessions(X.stream_of_files(spark, path), "ts", "2 hours", "user_id")
 
 
 @q("str04", f"SELECT {_W.format(s=600)} AS start, count(*) AS n, round(sum(value), 4) AS total, round(sum(value) / count(*), 6) AS mean FROM events GROUP BY 1")
@@ -202,7 +209,7 @@ def _(spark, d):
 @q("str05", f"SELECT {_W.format(s=60)} AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS lo, max(value) AS hi, arg_min(props, (ts, event_id)) AS dimensions FROM events GROUP BY ALL")
 def _(spark, d):
     aggs = [n_rows().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min_by("props", F.struct("ts", "event_id")).alias("dimensions")]
-    return X.run_windowed(_stream(spark, d), "ts", "60 seconds", aggs, ["event_type"])
+    return X.run_windowed(_batches(spark, d), "ts", "60 seconds", aggs, ["event_type"])
 
 
 @q("str06", "SELECT DISTINCT event_id FROM events")

@@ -15,6 +15,31 @@ from pyspark.sql import functions as F
 from rideloom.session import shared_dir
 
 
+def staged(df: DataFrame, ts: str, parts: int = 4, close: str | None = None) -> str:
+    """A folder of files to stream one at a time: the rows in order of time, cut into parts.
+
+    With close, a last file of one row, null but for the time `close` after all others, moves the watermark past every
+    window, so that what is open at the end is closed too.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    at = F.unix_micros(ts)
+    bounds = df.agg(F.percentile_approx(at, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("b"), F.max(ts).alias("last")).first()
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in bounds["b"] or []]), lambda b: b < at)) if parts > 1 and bounds["b"] else F.lit(0)
+    for i in range(parts):
+        df.where(part == i if i else (part == 0) | F.col(ts).isNull()).coalesce(1).sortWithinPartitions(ts).write.mode("append").parquet(path)
+    if close and bounds["last"] is not None:
+        end = df.limit(1).select(*[(F.lit(bounds["last"]) + F.expr(f"INTERVAL {close}")).alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+        end.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def stream_of_files(spark: SparkSession, path: str, at_once: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, oldest first, so many a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", at_once).parquet(path)
+
+
 def stream_of(spark: SparkSession, path: str, ts: str | None = None) -> DataFrame:
     """A Parquet table as a stream; event times without a zone become UTC timestamps, as watermarks need them."""
     # As a pattern the path may be one file too, which the file source refuses by name.
@@ -58,11 +83,15 @@ def run_windowed(stream: DataFrame, ts: str, size: str, aggs: Sequence[Column],
 
 
 def run_sessions(stream: DataFrame, ts: str, gap: str, key: str, late: str = "10 minutes") -> DataFrame:
-    """(key, start, end, n) of sessions: a pause longer than the gap ends one; end is the last event's second."""
+    """(key, start, end, n) of sessions: a pause longer than the gap ends one; end is the last event's second.
+
+    A session comes out once, when the watermark has passed its end, and leaves the state then; what is open at the
+    end of the stream is not among them (see staged). Rows without a key are left out.
+    """
     s = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last"))
     s = s.select(key, F.unix_seconds("w.start").alias("start"), F.unix_seconds("last").alias("end"), "n")
-    out = drain(s, "complete", lambda b, i, o: b.write.mode("overwrite").parquet(f"{o}/data"))
-    return stream.sparkSession.read.parquet(f"{out}/data")
+    out = drain(s, "append")
+    return stream.sparkSession.read.schema(s.schema).parquet(f"{out}/data").select(*s.columns).where(F.col(key).isNotNull())
 
 
 def run_deduplicated(stream: DataFrame, ts: str, key: str, within: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from rideloom.operators import late
@@ -23,7 +24,8 @@ def test_tumbling_and_sessions(spark):
     got = windows.run_windowed(s, "t", "10 seconds", [F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")])
     base = int(T0.timestamp())
     assert {(r.start - base, r.n, r.total) for r in got.collect()} == {(0, 2, 3.0), (10, 1, 3.0), (40, 1, 4.0)}
-    ses = windows.run_sessions(s, "t", "5 seconds", "u")
+    df = spark.createDataFrame(rows, "u string, t timestamp, v double")
+    ses = windows.run_sessions(windows.stream_of_files(spark, windows.staged(df, "t", 2, close="1 DAY")), "t", "5 seconds", "u")
     assert {(r.start - base, r.end - base, r.n) for r in ses.collect()} == {(3, 12, 3), (40, 40, 1)}  # a pause of exactly the gap joins
 
 
@@ -33,15 +35,45 @@ def test_deduplication_lets_rows_without_key_pass(spark):
     assert sorted(str(r.k) for r in got.collect()) == ["None", "None", "a", "b"]
 
 
-def test_panes_kept_by_a_stream_are_those_of_the_batch(spark, small):
+def test_late_rows_are_dropped_over_batches(spark):
+    """The second file moves the watermark, which tells late rows from the batch after next on: an older row is then dropped, one within it is not."""
+    path = files.new_path(spark, "late")
+    at = lambda s: T0 + timedelta(seconds=s)
+    for rows in ([(at(5), 1.0)], [(at(2000), 2.0)], [(at(2001), 32.0)], [(at(6), 4.0), (at(1990), 8.0)], [(at(4000), 16.0)]):
+        spark.createDataFrame(rows, "t timestamp, v double").coalesce(1).write.mode("append").parquet(path)
+    got = windows.run_windowed(windows.stream_of_files(spark, path), "t", "60 seconds", [F.sum("v").alias("total")], late="10 minutes")
+    base = int(T0.timestamp())
+    assert {(r.start - base, r.total) for r in got.collect()} == {(0, 1.0), (1980, 42.0), (3960, 16.0)}
+
+
+def test_staged_files_hold_all_rows(spark, small):
+    e = spark.read.parquet(f"{small}/events.parquet")
+    path = windows.staged(e, "ts", 3, close="1 DAY")
+    got = spark.read.parquet(path)
+    assert got.count() == e.count() + 1 and got.where("event_id IS NULL").count() == 1
+    assert windows.staged(e.limit(0), "ts", 2)
+
+
+@pytest.mark.parametrize("size_s", [3600, 7200])
+def test_stream_publishes_and_corrects_as_the_batch_form(spark, small, size_s):
+    """Files by processing time, one a micro-batch; a clock that runs a month ahead moves nothing."""
     p = spark.read.parquet(f"{small}/processed_locations.parquet").select("event_id", "driver_id", "recorded_at", "processed_at")
-    path, state = files.new_path(spark, "p"), files.new_path(spark, "panes")
-    p.write.parquet(path)
-    q = late.stream_driver_hours(windows.stream_of(spark, path), state, close_s=60 * 86400).option("checkpointLocation", f"{state}-c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {(r.driver_id, r.pane_start): r.n for r in late.read_panes(spark, state).collect()}
-    want = {(r.driver_id, r.h): r.n for r in p.dropDuplicates(["event_id"]).groupBy("driver_id", F.expr("unix_seconds(recorded_at) div 3600 * 3600").alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == want
+    ahead = p.limit(1).select(F.lit("ahead").alias("event_id"), "driver_id", (F.col("recorded_at") + F.expr("INTERVAL 30 DAYS")).alias("recorded_at"), F.lit(p.agg(F.min("processed_at")).first()[0]).alias("processed_at"))
+    p = p.unionByName(ahead)
+    state = files.new_path(spark, "late")
+    stream = windows.stream_of_files(spark, windows.staged(p, "processed_at", 4))
+    late.stream_driver_hours(stream, state, size_s=size_s).option("checkpointLocation", f"{state}-c").trigger(availableNow=True).start().awaitTermination()
+    want = {(r.driver_id, r.period_start): (r.n_published, r.n_corrected) for r in late.driver_hours(p, size_s=size_s).collect()}
+
+    def counts(state):
+        e = late.read_emissions(spark, state).where("emitted_s IS NOT NULL")
+        e = e.groupBy("key", "window_start").agg(F.sum(F.when(F.col("revision") == 0, F.col("delta")).otherwise(0)).alias("first"), F.max("n").alias("n"))
+        return {(r.key, r.window_start): (r.first, r.n) for r in e.collect()}
+
+    assert counts(state) == {k: v for k, v in want.items() if v[1]}
+    moved = files.new_path(spark, "compacted")
+    late.compacted(spark, state, moved)
+    assert counts(moved) == counts(state)
 
 
 def test_backpressure(spark):
