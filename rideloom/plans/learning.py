@@ -346,7 +346,7 @@ _NET = ["l_quantity", "l_discount", "l_tax"]
 @q("ml06_net")
 def _(spark, d):
     """The two-layer net: its epochs with rate and validation loss."""
-    net = L.train_net(t(spark, d, "lineitem"), _NET, "l_extendedprice", hidden=6, epochs=12, batches=2, schedule=L.step_decay(0.1, 4), patience=3)
+    net = L.train_net(t(spark, d, "lineitem"), _NET, "l_extendedprice", hidden=6, epochs=12, batches=2, schedule=L.step_decay(0.02, 4), patience=3)
     return spark.createDataFrame([(h["epoch"], float(h["rate"]), float(round(h["loss"], 6))) for h in net.history], "epoch int, rate double, loss double")
 
 
