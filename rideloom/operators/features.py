@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rideloom.common import cumulated, value_counts, written
+from rideloom.session import shared_dir
 
 
 def hashed_split(df: DataFrame, key: str, parts: Sequence[float], seed: int = 1) -> DataFrame:
@@ -202,6 +205,29 @@ def shortest(edges: DataFrame, src: str, dst: str, weight: str, start, most_roun
         best, rounds = written(best.join(front, "node", "left_anti").unionByName(front), "best"), rounds + 1
 
 
+def path_totals(nodes: DataFrame, node: str, up: str, value: str, root, most_depth: int | None = None) -> DataFrame:
+    """(node, depth, total): values summed along the path from the root, for the nodes whose path is whole; of several paths of one depth the largest sum.
+
+    Frontier by frontier until none follows. The nodes are written once, sorted by what they hang on, so a step reads
+    only those between the ends of its frontier. With most_depth, nodes beyond it are an error; a cycle needs it to end.
+    """
+    spark, out = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/rideloom-paths-{uuid.uuid4().hex}"
+    x = nodes.select(F.col(node).alias("node"), F.col(up).alias("_up"), F.col(value).cast("double").alias("_value"))
+    step = x.where(F.col("node") == F.lit(root)).select("node", F.col("_value").alias("total"), F.col("_value").alias("low"))
+    x = written(x.where((F.col("node") != F.lit(root)) & F.col("_up").isNotNull()).repartitionByRange("_up", "node").sortWithinPartitions("_up"), "tree")
+    for depth in itertools.count(0):
+        # The lowest sum goes along: with opposite infinities it may be the one that becomes NaN, which is above all.
+        step.groupBy("node").agg(F.max(F.greatest("total", "low")).alias("total"), F.min(F.least("total", "low")).alias("low")).write.parquet(f"{out}/depth={depth}")
+        front = spark.read.schema(step.schema).parquet(f"{out}/depth={depth}")
+        first, last = front.agg(F.min("node"), F.max("node")).first()
+        if first is None:
+            return spark.read.schema(f"node {dict(step.dtypes)['node']}, total double, low double, depth int").parquet(out).select("node", "depth", "total")
+        if most_depth is not None and depth > most_depth:
+            raise RuntimeError(f"nodes beyond depth {most_depth}")
+        near = x.where(F.col("_up").between(F.lit(first), F.lit(last)))
+        step = front.withColumnRenamed("node", "_at").join(near, F.col("_at") == F.col("_up")).select("node", (F.col("total") + F.col("_value")).alias("total"), (F.col("low") + F.col("_value")).alias("low"))
+
+
 def minutes_at(segments: DataFrame, profiles: DataFrame, hour: int) -> DataFrame:
     """Segments (segment, s, t, km, limit) with the minutes they take at an hour: by the profile (segment, hour, speed) of that hour, the fastest of several, else by the limit."""
     at = profiles.where(F.col("hour") == hour).groupBy("segment").agg(F.max("speed").alias("speed"))

@@ -599,7 +599,7 @@ def _(spark, d):
 @q("gr06", "WITH RECURSIVE s AS (SELECT event_id AS id, event_id // 2 AS up, value FROM events WHERE event_id >= 1), p AS (SELECT id, up, value AS total FROM s WHERE id = 1 UNION ALL SELECT s.id, s.up, p.total + s.value FROM s JOIN p ON s.up = p.id WHERE s.id <> 1) SELECT round(max(total), 4) AS critical FROM p")
 def _(spark, d):
     e = t(spark, d, "events").where("event_id >= 1").select(F.col("event_id").alias("id"), F.expr("event_id div 2").alias("up"), "value")
-    return spark.sql("WITH RECURSIVE p AS (SELECT id, up, value AS total FROM {e} WHERE id = 1 UNION ALL SELECT s.id, s.up, p.total + s.value FROM {e} s JOIN p ON s.up = p.id WHERE s.id <> 1) SELECT round(max(total), 4) AS critical FROM p", e=e)
+    return X.path_totals(e, "id", "up", "value", 1).agg(r(F.max("total"), 4).alias("critical"))
 
 
 @q("gr07", f"{_GV}, m AS (SELECT s AS node, sum(w * value) / sum(w) AS a FROM e JOIN v ON e.t = v.node GROUP BY 1) SELECT v.node, round(CASE WHEN m.a IS NULL THEN v.value ELSE 0.5 * v.value + 0.5 * m.a END, 4) AS value FROM v LEFT JOIN m USING (node)")

@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from compare import differences, duck
 from rideloom.common import table
 from rideloom.operators import features, joins, pipeline
 from rideloom.plans import joining
 
-QUERIES = entry.queries()
+QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 def test_round_trips_of_all_rows(spark, small):
@@ -105,3 +106,45 @@ def test_closures_do_not_end_early(spark, small):
         pipeline.closure(chain, "s", "t", start, 3)
     parts = {r[0] for r in table(spark, small, "part").select("p_partkey").where("p_partkey >= 1").collect()}
     assert {r.start for r in QUERIES["gov04_whole"](spark, small).collect()} == parts
+
+
+def test_critical_path_has_no_bound_of_rows(spark, small):
+    key = "spark.sql.cteRecursionRowLimit"
+    kept, con = spark.conf.get(key), duck(small)
+    spark.conf.set(key, "100")  # a recursion in SQL ends with an error there, at a million rows by default
+    try:
+        assert not differences(QUERIES["gr06"](spark, small), con, SQL["gr06"])[0]
+    finally:
+        spark.conf.set(key, kept)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [],
+        [(0, 5.0), (2, 1.0), (3, 7.0)],  # no root
+        [(1, None), (2, 3.0)],
+        [(1, 1.0), (2, -3.0), (3, -1.0), (6, None), (12, 50.0), (10, 90.0), (None, 99.0), (-4, 99.0), (7, 0.5)],  # 5 and 6 lead nowhere
+        [(1, 1.0), (1, 2.5), (2, 4.0), (2, None), (2, 3.0), (5, 1.0), (5, 6.0), (3, 8.0)],
+        [(1, 1.0), (2, float("nan")), (3, 8.0)],
+        [(1, 1.0), (2, float("inf")), (4, float("-inf")), (3, 8.0)],
+        [(1, 5.0), (1, float("-inf")), (2, 1.0), (4, float("inf"))],
+        [(1, float("nan")), (1, float("-inf")), (1, 2.0), (2, None), (3, float("inf"))],
+        [(1 << k, 0.1) for k in range(34)] + [(3 << k, 0.2) for k in range(30)],  # ids of more than 32 bits
+    ],
+)
+def test_critical_path_of_odd_rows(spark, tmp_path, rows):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    ids, values = zip(*rows) if rows else ((), ())
+    pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64()), "value": pa.array(values, pa.float64())}), f"{tmp_path}/events.parquet")
+    assert not differences(QUERIES["gr06"](spark, str(tmp_path)), duck(str(tmp_path)), SQL["gr06"])[0]
+
+
+def test_path_totals(spark):
+    x = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "b", 4), ("d", "c", 8), ("c", "a", 32), ("e", "x", 64)], "node string, up string, v int")
+    assert sorted(map(tuple, features.path_totals(x, "node", "up", "v", "a").collect())) == [("a", 0, 1.0), ("b", 1, 3.0), ("c", 1, 33.0), ("c", 2, 7.0), ("d", 2, 41.0), ("d", 3, 15.0)]
+    assert features.path_totals(x, "node", "up", "v", "a", 3).count() == 6
+    with pytest.raises(RuntimeError):
+        features.path_totals(x, "node", "up", "v", "a", 2)
